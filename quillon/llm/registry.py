@@ -1,6 +1,10 @@
 """Queries of this subpackage, by the name under which they are registered, and their DuckDB SQL."""
 
-from . import simhash
+from . import mixing, quality, simhash
 
-QUERIES = {"op9_simhash": simhash.op9_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
+}
+ORACLE_SQL = {"op8_mixing": mixing.OP8_SQL}
