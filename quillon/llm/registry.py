@@ -1,8 +1,9 @@
 """Queries of this subpackage, by the name under which they are registered, and their DuckDB SQL."""
 
-from . import mixing, quality, simhash, suffixes
+from . import mixing, quality, simhash, substring, suffixes
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op3_suffix_array": suffixes.op3_suffix_array,
     "op4_quality_rules": quality.op4_quality_rules,
     "op8_mixing": mixing.op8_mixing,
