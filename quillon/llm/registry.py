@@ -1,11 +1,13 @@
 """Queries of this subpackage, by the name under which they are registered, and their DuckDB SQL."""
 
-from . import mixing, quality, simhash, substring, suffixes
+from . import mixing, packing, quality, simhash, substring, suffixes, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op3_suffix_array": suffixes.op3_suffix_array,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_packing": packing.op6_packing,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
 }
