@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,14 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage ends at files any executor can read.
 
-    The files go when the driver's JVM ends. Unlike ``checkpoint()`` the plan runs once, not twice.
+    The files go when the driver's JVM ends. Unlike ``checkpoint()`` the plan runs once, not twice. Collecting garbage
+    lets Spark's cleaner delete the shuffle files of the plan just run, which nothing reads again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession, *frames: DataFrame) -> None:

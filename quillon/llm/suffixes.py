@@ -7,8 +7,8 @@ the text, so the list holds only suffixes that can have an equal neighbour:
 1. Every window of 400 bytes has an anchor: its least 32-byte gram by hash, the leftmost if it occurs twice. Equal
    windows have equal grams at equal offsets. Consecutive windows of one anchor form a run; its bytes are a segment.
 2. Grams that occur once in the corpus leave with all their windows. A segment that occurs twice or more is repeated as
-   a whole. What is left, at the edges of repeated passages, are windows of segments that share only the left or the
-   right half of some window with another segment.
+   a whole. A segment none of whose cores (bytes that many of its windows hold) occurs in another segment leaves. What
+   is left, at the edges of repeated passages, is cut into blocks of 16 windows, and the blocks are judged likewise.
 3. The suffixes starting at those windows are range-partitioned by their leading 8 bytes and the digests of the rest with
    sampled splitters, sorted in each bucket by multikey quicksort, and compared with neighbours, also across buckets.
 """
@@ -29,6 +29,9 @@ LENGTH, GRAM = 400, 32
 GRAMS = LENGTH - GRAM + 1
 #: Windows whose anchor lies at least this far in hold [anchor - LEFT, anchor + GRAM), the others [anchor, anchor + LENGTH - LEFT + 1).
 LEFT = 184
+#: Windows of a block; all hold the CORE bytes that its last full window starts with.
+BLOCK = 16
+CORE = LENGTH - BLOCK + 1
 #: Windows of a long text that are looked at together.
 PIECE = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
@@ -134,36 +137,54 @@ def anchors(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, ", ".join(f"`{f.name}` long" for f in schema))
 
 
-def _windows(ranged: DataFrame) -> DataFrame:
-    """The suffixes, cut at LENGTH bytes, that start in the `ranges` of each text: leading 8 bytes, two digests, place."""
-    schema = pa.schema([(n, pa.int64()) for n in ("lead", "h1", "h2", "doc_id", "tid", "pos")])
+def _block_rows(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges [lo, hi) of windows cut into blocks by their distance from the anchor: bounds, first and last window, core, anchor."""
+    h = FIRST(raw, (LENGTH, CORE))
+    least, most = (anchor - hi + 1) // BLOCK, (anchor - lo) // BLOCK
+    counts = most - least + 1
+    of = np.repeat(np.arange(len(lo)), counts)
+    block = least[of] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    end = anchor[of] - block * BLOCK
+    start, stop = np.maximum(lo[of], end - BLOCK + 1), np.minimum(hi[of], end + 1)
+    return start, stop, h[LENGTH][start].view(np.int64), h[LENGTH][stop - 1].view(np.int64), h[CORE][end].view(np.int64), anchor[of]
+
+
+def _window_rows(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The suffixes, cut at LENGTH bytes, that start in [lo, hi): bounds, leading 8 bytes in their order, two digests."""
+    at = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]))
+    lead = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        lead = lead << np.uint64(8) | raw[at + k]
+    digests = [h(raw, (LENGTH,))[LENGTH][at].view(np.int64) for h in (FIRST, SECOND)]
+    return at, at + 1, (lead ^ np.uint64(1 << 63)).view(np.int64), *digests
+
+
+def _per_range(keyed: DataFrame, ranges: DataFrame, rows_of, names: tuple[str, ...]) -> DataFrame:
+    """What `rows_of` makes of the `ranges` (doc_id, tid, r) of windows in each text, near ones together: doc_id, tid, lo, hi and `names`.
+
+    Offsets that rows_of gets and gives are into a stretch of the text; the first two it gives, and `anchor`, become offsets in the text.
+    """
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "tid", "lo", "hi", *names)])
 
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)
-            for doc, tid, text, ranges in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3), strict=True)
+            for doc, tid, text, found in rows:
                 raw = np.frombuffer(text, np.uint8)
-                for lo, hi in _merged([(r["lo"], r["hi"]) for r in ranges]):
-                    for i in range(lo, hi, PIECE):
-                        part = raw[i : min(hi, i + PIECE) + LENGTH - 1]
-                        n = len(part) - LENGTH + 1
-                        lead = part[:n].astype(np.uint64)
-                        for k in range(1, 8):
-                            lead = lead << np.uint64(8) | part[k : k + n]
-                        ordered = lead ^ np.uint64(1 << 63)
-                        yield record_batch(schema, ordered.view(np.int64), FIRST(part, (LENGTH,))[LENGTH].view(np.int64), SECOND(part, (LENGTH,))[LENGTH].view(np.int64), np.full(n, doc), np.full(n, tid), np.arange(i, i + n))
-
-    return ranged.mapInArrow(run, ", ".join(f"`{f.name}` long" for f in schema))
-
-
-def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(ranges):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+                lo, hi, anchor = (found.values.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "anchor"))
+                order = np.argsort(lo, kind="stable")
+                lo, hi, anchor = lo[order], hi[order], anchor[order]
+                i = 0
+                while i < len(lo):
+                    j = int(np.searchsorted(lo, lo[i] + PIECE, side="right"))
+                    base = int(lo[i])
+                    start, stop, *values = rows_of(raw[base : int(hi[i:j].max()) + LENGTH - 1], lo[i:j] - base, hi[i:j] - base, anchor[i:j] - base)
+                    values = [v + base if n == "anchor" else v for n, v in zip(names, values, strict=True)]
+                    yield record_batch(schema, np.full(len(start), doc), np.full(len(start), tid), start + base, stop + base, *values)
+                    i = j
+
+    by_text = ranges.groupBy("doc_id", "tid").agg(F.collect_set("r").alias("ranges"))
+    return keyed.join(by_text, ["doc_id", "tid"]).select("doc_id", "tid", "text", "ranges").mapInArrow(run, ", ".join(f"`{f.name}` long" for f in schema))
 
 
 _NO_ID = -(1 << 63)
@@ -184,24 +205,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     runs = materialize(every.join(twice, "gram").drop("gram"))
     release(spark, every)
-    segment = ["first", "last", "length"]
-    runs = runs.withColumn("length", F.col("s1") - F.col("s0"))
-    place = F.struct("doc_id", "tid", "s0")
-    segments = materialize(runs.groupBy(*segment).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.min("left").alias("left"), F.min("right").alias("right")))
-    shared = {side: segments.where(f"`{side}` <> 0").groupBy(side).agg(F.count("*").alias("m")).where("m > 1").select(side, F.lit(True).alias(f"by_{side}")) for side in ("left", "right")}
-    judged = segments.drop("one").join(shared["left"], "left", "left").join(shared["right"], "right", "left")
-    judged = judged.join(segments.select(*segment, "one"), segment).where("n > 1 or by_left or by_right").select(*segment, "n", "one", "by_left", "by_right")
-    found = materialize(runs.drop("left", "right").join(judged, segment))
-    whole = found.where("n > 1").select("doc_id", "tid", F.struct(F.col("s0").alias("lo"), (F.col("s1") + LENGTH).alias("hi")).alias("span"))
-    open_ = found.where((F.col("n") == 1) | (place == F.col("one")))
+    found = _resolved(runs.withColumnsRenamed({"s0": "lo"}).withColumn("hi", F.col("s1") + 1).drop("s1"), ["left", "right"])
+    release(spark, runs)
+    whole = _whole(found)
     middle = F.col("anchor") - LEFT + 1
-    ranges = open_.select("doc_id", "tid", F.when(F.col("by_left"), F.struct(F.col("s0").alias("lo"), F.least(F.col("s1") + 1, middle).alias("hi"))).alias("a"), F.when(F.col("by_right"), F.struct(F.greatest(F.col("s0"), middle).alias("lo"), (F.col("s1") + 1).alias("hi"))).alias("b"))
-    ranges = ranges.select("doc_id", "tid", F.explode(F.array_compact(F.array("a", "b"))).alias("r")).where("r.lo < r.hi")
-    by_text = ranges.groupBy("doc_id", "tid").agg(F.collect_set("r").alias("ranges"))
-    windows = _windows(keyed.join(by_text, ["doc_id", "tid"]))
-    starts = repeated(windows, ["lead", "h1", "h2"], ["doc_id", "tid", "pos"])
+    open_ = lambda side, lo, hi: F.when(F.col(f"by_{side}"), F.struct(lo.alias("lo"), hi.alias("hi"), "anchor"))
+    ranges = found.where("open").select("doc_id", "tid", F.explode(F.array_compact(F.array(open_("left", F.col("lo"), F.least("hi", middle)), open_("right", F.greatest("lo", middle), F.col("hi"))))).alias("r"))
+    blocks = materialize(_per_range(keyed, ranges.where("r.lo < r.hi"), _block_rows, ("first", "last", "core", "anchor")))
+    split = _resolved(blocks, ["core"])
+    release(spark, blocks)
+    left = split.where("open and by_core").select("doc_id", "tid", F.struct("lo", "hi", "anchor").alias("r"))
+    windows = _per_range(keyed, left, _window_rows, ("lead", "h1", "h2"))
+    starts = repeated(windows.withColumnRenamed("lo", "pos"), ["lead", "h1", "h2"], ["doc_id", "tid", "pos"])
     single = starts.select("doc_id", "tid", F.struct(F.col("pos").alias("lo"), (F.col("pos") + LENGTH).alias("hi")).alias("span"))
-    return whole.unionByName(single).groupBy("doc_id", "tid").agg(F.collect_set("span").alias("spans"))
+    return whole.unionByName(_whole(split)).unionByName(single).groupBy("doc_id", "tid").agg(F.collect_set("span").alias("spans"))
+
+
+def _whole(found: DataFrame) -> DataFrame:
+    return found.where("n > 1").select("doc_id", "tid", F.struct("lo", (F.col("hi") - 1 + LENGTH).alias("hi")).alias("span"))
+
+
+def _resolved(runs: DataFrame, cores: list[str]) -> DataFrame:
+    """The runs of windows that can be repeated: n, how often their bytes occur as a run; by_<core>, whether other bytes have that core.
+
+    `open`: the run stands for its bytes wherever single windows are still to be compared (one of n equal ones does).
+    """
+    segment, place = ["first", "last", "length"], F.struct("doc_id", "tid", "lo")
+    runs = runs.withColumn("length", F.col("hi") - F.col("lo"))
+    segments = materialize(runs.groupBy(*segment).agg(F.count("*").alias("n"), F.min(place).alias("one"), *[F.min(c).alias(c) for c in cores]))
+    judged = segments
+    for c in cores:
+        shared = segments.where(f"`{c}` <> 0").groupBy(c).agg(F.count("*").alias("m")).where("m > 1").select(c, F.lit(True).alias(f"by_{c}"))
+        judged = judged.join(shared, c, "left")
+    flags = [f"by_{c}" for c in cores]
+    judged = judged.where(" or ".join(["n > 1", *flags])).select(*segment, "n", "one", *flags)
+    found = materialize(runs.drop(*cores).join(judged, segment).withColumn("open", (F.col("n") == 1) | (place == F.col("one"))).drop("one", *segment))
+    release(runs.sparkSession, segments)
+    return found
 
 
 def _removed(n: int, spans) -> np.ndarray:
