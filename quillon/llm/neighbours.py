@@ -18,13 +18,15 @@ CHANCE = 0.7
 #: Width of a hash cell, in target distances.
 WIDTH = 1.8
 #: Hash functions of a table: so many that a cell holds about CELL_ROWS rows, if each cuts the rows as SPLIT, but no more than MOST_HASHES.
-CELL_ROWS, SPLIT, MOST_HASHES = 64, 2.6, 10
+CELL_ROWS, SPLIT, MOST_HASHES = 256, 2.6, 10
 #: Buckets of a table that a query looks for, at most; the chance is reached long before with MOST_HASHES hashes.
 MOST_PROBES = 1 << 14
-#: Rows that the target distance is estimated from, at most: those with the least hashes.
+#: Rows that the target distance is estimated from, at most: picked by hash.
 SAMPLE_ROWS, SAMPLE_QUERIES = 2000, 100
 #: Rows of one bucket that meet its queries in one task, on average at most; larger buckets are split by row.
 SPLIT_ROWS = 4096
+#: Rows of result lists that a task holds to merge them; more go on unmerged.
+HELD_ROWS = 200_000
 SEED = 20
 
 
@@ -83,9 +85,11 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda t: 0.5 * (1 + math.erf(t / math.sqrt(2))))(x)
 
 
-def _target(rows: DataFrame) -> tuple[float, int]:
+def _target(rows: DataFrame, n_rows: int) -> tuple[float, int]:
     """Median distance of sampled rows to their nearest other sampled row, and the dimension."""
-    sample = [r.v for r in rows.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).collect()]
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << 30)).cast("long")
+    some = rows.where(place < int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, n_rows)) * (1 << 30)))
+    sample = [r.v for r in some.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).collect()]
     if not sample:
         return 1.0, 1
     x = np.unique(np.array(sample, float), axis=0)
@@ -121,11 +125,11 @@ def _hashed(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
 
 
 def _met(dealt: DataFrame, k: int) -> DataFrame:
-    """For each bucket part, its rows against its queries: the k nearest of each query, nearest first, by exact distance."""
+    """For each bucket part, its rows against its queries by exact distance: the k nearest of each query that a task finds, or more."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        now, ids, parts, x = None, [], [], None
+        now, ids, parts, x, held = None, [], [], None, []
         for batch in batches:
             group = np.stack([batch.column(i).to_numpy() for i in range(3)], 1).astype(np.int64)
             names, matrix = batch.column(3).to_numpy(), _matrix(batch.column(4))
@@ -150,11 +154,29 @@ def _met(dealt: DataFrame, k: int) -> DataFrame:
                     score = np.sqrt(np.einsum("ij,ij->i", d, d))
                     near = np.lexsort((ids[0], score))[:k]
                     out.append((np.full(len(near), q), ids[0][near], score[near]))
-                yield record_batch(schema, *[np.concatenate(c) for c in zip(*out, strict=True)])
+                held.append(tuple(np.concatenate(c) for c in zip(*out, strict=True)))
+                if sum(len(h[0]) for h in held) > HELD_ROWS:
+                    held = [_merged_lists(held, k)]
+                    if len(held[0][0]) > HELD_ROWS // 2:
+                        yield record_batch(schema, *held.pop())
+        if held:
+            yield record_batch(schema, *_merged_lists(held, k))
 
     return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _merged_lists(lists: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """One list of (query, row, score) with the k nearest rows of each query."""
+    query, row, score = (np.concatenate(c) for c in zip(*lists, strict=True))
+    order = np.lexsort((row, score, query))
+    query, row, score = query[order], row[order], score[order]
+    once = np.r_[True, (query[1:] != query[:-1]) | (row[1:] != row[:-1])] if len(query) else np.zeros(0, bool)
+    query, row, score = query[once], row[once], score[once]
+    first = np.searchsorted(query, query, side="left")
+    near = np.arange(len(query)) - first < k
+    return query[near], row[near], score[near]
+
+
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest other rows found for each row of `vectors` that `is_query`, by Euclidean distance.
 
@@ -169,7 +191,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     least = W.partitionBy("v").orderBy("vec_id")
     index = materialize(rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).drop("n"))
     asked = materialize(usable(vectors.where(is_query), id_col, vector_col).groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v"))
-    n_rows, (target, dimensions) = index.count(), _target(index)
+    n_rows = index.count()
+    target, dimensions = _target(index, n_rows)
     hashes = Hashes(dimensions, n_rows, target)
     placed = _hashed(index, hashes, False)
     probing = _hashed(asked.repartition(spark.sparkContext.defaultParallelism * 4, "vec_id"), hashes, True)
