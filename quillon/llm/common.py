@@ -87,10 +87,22 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    """UTF-8 of every value of a string column; null counts as empty."""
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of each value of a string column, one after the other; null counts as empty."""
     column = column.cast(pa.large_binary())
-    return [b"" if v is None else v for v in column.to_pylist()]
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    raw = memoryview(data) if data is not None else memoryview(b"")
+    for i in range(len(column)):
+        yield b"" if missing[i] else raw[at[i] : at[i + 1]].tobytes()
+
+
+def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what is made of a part stays small; nothing is copied."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def text_blocks(batch: pa.RecordBatch, name: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

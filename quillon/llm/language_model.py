@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, record_batch, texts_of
+from .common import ASCII_LOWER, materialize, record_batch, slices, texts_of
 
 #: The end of a text as a token; no word holds a line feed.
 END = "\n"
@@ -119,7 +119,7 @@ def pair_counts(training: DataFrame, shared) -> np.ndarray:
     def run(batches):
         vocabulary = shared.value
         found = np.zeros(vocabulary.symbols**2, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             codes = []
             for text in texts_of(batch.column(0)):
                 _, symbols = vocabulary.look_up(tokens_of(text))
@@ -137,6 +137,21 @@ def pair_counts(training: DataFrame, shared) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def _most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
+    """The `size` tokens of the highest counts, equal ones by text; only they come to the driver.
+
+    A histogram over powers of two shows from which count on there are enough; the top is picked among those.
+    """
+    power = F.floor(F.log2("c")).cast("int")
+    held, least = 0, 0
+    for r in sorted(counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held, least = held + r.n, r.p
+        if held >= size:
+            break
+    top = materialize(counts.where(power >= least).orderBy(F.desc("c"), "token").limit(size))
+    return sorted((tuple(r) for r in top.collect()), key=lambda r: (-r[1], r[0].encode()))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, words: int = WORDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
@@ -154,7 +169,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     counts = materialize(token_counts(training))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0))).first()
     n, v, ends = (int(x) for x in totals)
-    head = [tuple(r) for r in counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(head_size).collect()]
+    head = _most_frequent(counts.where(F.col("token") != END), head_size)
     top = counts.where(F.col("token") != END)
     if len(head) > words:
         w, c = head[words - 1]
@@ -172,23 +187,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
         from pyspark import TaskContext
 
         vocabulary, log_table, number = shared.value, table.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                out = []
-                for text in texts_of(part.column(1)):
-                    said = tokens_of(text)
-                    at, symbols = vocabulary.look_up(said)
-                    inside = at[at >= 0]
-                    logs = vocabulary.log_count[inside]
-                    model = float(log_table[np.r_[0, symbols[:-1]], symbols].sum(dtype=np.float64))
-                    rare = symbols > vocabulary.words
-                    model += float(logs[rare[at >= 0]].sum() - vocabulary.class_total[symbols[rare]].sum())
-                    tail = Counter(said[i] for i in np.flatnonzero(at < 0))
-                    out.append((number, len(at), len(inside) - (not vocabulary.end_known), float(logs.sum()), model, [{"token": w.decode(), "tf": k} for w, k in tail.items()]))
-                    number += 1
-                row, n_tokens, n_head, base, model, tail = zip(*out, strict=True)
-                yield record_batch(schema, row, part.column(0), part.column(2), n_tokens, n_head, base, model, tail)
+        for part in slices(batches):
+            out = []
+            for text in texts_of(part.column(1)):
+                said = tokens_of(text)
+                at, symbols = vocabulary.look_up(said)
+                inside = at[at >= 0]
+                logs = vocabulary.log_count[inside]
+                model = float(log_table[np.r_[0, symbols[:-1]], symbols].sum(dtype=np.float64))
+                rare = symbols > vocabulary.words
+                model += float(logs[rare[at >= 0]].sum() - vocabulary.class_total[symbols[rare]].sum())
+                tail = Counter(said[i] for i in np.flatnonzero(at < 0))
+                out.append((number, len(at), len(inside) - (not vocabulary.end_known), float(logs.sum()), model, [{"token": w.decode(), "tf": k} for w, k in tail.items()]))
+                number += 1
+            row, n_tokens, n_head, base, model, tail = zip(*out, strict=True)
+            yield record_batch(schema, row, part.column(0), part.column(2), n_tokens, n_head, base, model, tail)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, model double, tail array<struct<token: string, tf: int>>"))

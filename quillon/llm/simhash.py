@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, fresh, materialize, texts_of
+from .common import ASCII_LOWER, fresh, materialize, slices, texts_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows (doc_id, fp) with the fingerprint as a signed 64-bit number, one for each row of `docs`."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.fromiter((fingerprint(t, shingle) for t in texts_of(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 

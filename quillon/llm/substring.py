@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, record_batch, release, text_blocks, texts_of
+from .common import fresh, materialize, record_batch, release, slices, text_blocks, texts_of
 from .repeats import repeated
 
 WINDOW = 50
@@ -110,7 +110,7 @@ def _windows(met: DataFrame) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("h1", "h2", "doc_id", "tid", "pos")])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, tid, text, met in zip(ids, tids, texts_of(batch.column(2)), batch.column(3), strict=True):
                 raw = np.frombuffer(text, np.uint8)
@@ -136,7 +136,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
     every = materialize(anchors(keyed))
-    shared = every.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
+    # written first: a join of two plain shuffles lets Spark split the partition of an anchor that very many documents have
+    shared = materialize(every.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash"))
     met = materialize(every.join(shared, "hash").select("doc_id", "pos"))
     release(docs.sparkSession, every)
     by_doc = met.groupBy("doc_id").agg(F.collect_set("pos").alias("met"))
@@ -152,10 +153,10 @@ def _joined(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> tu
     return keyed.join(found, [key, tid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], name), name
 
 
-def _keep(words: list[bytes], starts) -> list[bytes]:
-    if not starts:
+def _keep(words: list[bytes], starts: pa.ListScalar) -> list[bytes]:
+    if not starts.is_valid:
         return words
-    change, at = np.zeros(len(words) + 1, np.int32), np.array(starts, np.int64)
+    change, at = np.zeros(len(words) + 1, np.int32), starts.values.to_numpy(zero_copy_only=False)
     np.add.at(change, at, 1)
     np.add.at(change, at + WINDOW, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
@@ -171,9 +172,9 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     joined, _ = _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), repeated_windows(docs, id_col, text_col), "doc_id", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text, starts in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, starts in zip(texts_of(batch.column(1)), batch.column(2), strict=True):
                 words = text.split()
                 kept = _keep(words, starts)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -188,9 +189,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = [joined.columns.index(text_col), joined.columns.index(name)]
 
     def run(batches):
-        for batch in batches:
-            raw, starts = batch.column(places[0]), batch.column(places[1]).to_pylist()
-            texts = [t if not s else b" ".join(_keep(t.encode().split(), s)).decode() for t, s in zip(raw.to_pylist(), starts, strict=True)]
+        for batch in slices(batches):
+            raw, starts = batch.column(places[0]), batch.column(places[1])
+            texts = [b" ".join(_keep(t.split(), s)).decode() if s.is_valid else x.as_py() for t, s, x in zip(texts_of(raw), starts, raw, strict=True)]
             columns = [pa.array(texts, raw.type) if i == places[0] else batch.column(i) for i in range(batch.num_columns) if i != places[1]]
             yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != name])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, record_batch, release, text_blocks, texts_of
+from .common import fresh, materialize, record_batch, release, slices, text_blocks, texts_of
 from .repeats import repeated
 
 LENGTH, GRAM = 400, 32
@@ -167,7 +167,7 @@ def _per_range(keyed: DataFrame, ranges: DataFrame, rows_of, names: tuple[str, .
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "tid", "lo", "hi", *names)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3), strict=True)
             for doc, tid, text, found in rows:
                 raw = np.frombuffer(text, np.uint8)
@@ -202,7 +202,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed, spark = _keyed(docs, id_col, text_col), docs.sparkSession
     every = materialize(anchors(keyed))
-    twice = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written first: a join of two plain shuffles lets Spark split the partition of a gram that very many windows have
+    twice = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     runs = materialize(every.join(twice, "gram").drop("gram"))
     release(spark, every)
     found = _resolved(runs.withColumnsRenamed({"s0": "lo"}).withColumn("hi", F.col("s1") + 1).drop("s1"), ["left", "right"])
@@ -244,9 +245,9 @@ def _resolved(runs: DataFrame, cores: list[str]) -> DataFrame:
     return found
 
 
-def _removed(n: int, spans) -> np.ndarray:
+def _removed(n: int, spans: pa.ListScalar) -> np.ndarray:
     change = np.zeros(n + 1, np.int32)
-    lo, hi = (np.array([s[k] for s in spans], np.int64) for k in ("lo", "hi"))
+    lo, hi = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
     np.add.at(change, lo, 1)
     np.add.at(change, hi, -1)
     return np.cumsum(change[:-1]) > 0
@@ -270,10 +271,10 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     joined, name = _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), repeated_spans(docs, id_col, text_col), "doc_id", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for text, spans in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                if spans:
+            for text, spans in zip(texts_of(batch.column(1)), batch.column(2), strict=True):
+                if spans.is_valid:
                     gone = _removed(len(text), spans)
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     out.append((len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
@@ -293,9 +294,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = [joined.columns.index(text_col), joined.columns.index(name)]
 
     def run(batches):
-        for batch in batches:
-            raw, spans = batch.column(places[0]), batch.column(places[1]).to_pylist()
-            texts = [t if not s else np.frombuffer(t.encode(), np.uint8)[~_removed(len(t.encode()), s)].tobytes().decode(errors="ignore") for t, s in zip(raw.to_pylist(), spans, strict=True)]
+        for batch in slices(batches):
+            raw, spans = batch.column(places[0]), batch.column(places[1])
+            cut = lambda t, s: np.frombuffer(t, np.uint8)[~_removed(len(t), s)].tobytes().decode(errors="ignore")
+            texts = [cut(t, s) if s.is_valid else x.as_py() for t, s, x in zip(texts_of(raw), spans, raw, strict=True)]
             columns = [pa.array(texts, raw.type) if i == places[0] else batch.column(i) for i in range(batch.num_columns) if i != places[1]]
             yield pa.RecordBatch.from_arrays(columns, [c for c in batch.schema.names if c != name])
 
