@@ -52,7 +52,7 @@ def plain(name, rows):
         assert {i for i, t, *_ in rows if test_quality.brute(t)[0] < quality.LEAST_WORDS} <= junk
         return [x for x in rows if x[0] not in junk]
     if name == "SimHash near-dedup":
-        named = {i for i, _, c in test_simhash.classes([x[:3] for x in rows]) if i == c}
+        named = {i for i, c in test_simhash.similar([x[:3] for x in rows]).items() if i == c}
         return [x for x in rows if x[0] in named]
     if name == "suffix-array dedup":
         out = []

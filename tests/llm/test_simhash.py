@@ -70,9 +70,54 @@ def test_links_are_exactly_those_within_two_bits(spark):
     assert group == {p: got.get(p, p) for p in prints}
 
 
+def similar(rows):
+    """Smallest id of each group linked by a five-word Jaccard similarity of 0.8, by brute force; pairs near 0.8 are left out of the fixture."""
+    grams = []
+    for _, t, _ in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    group = list(range(len(rows)))
+    find = lambda i: i if group[i] == i else find(group[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            s = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+            assert not 0.68 < s < 0.82
+            if s >= 0.8:
+                group[find(i)] = find(j)
+    out = {}
+    for i, (d, _, _) in enumerate(rows):
+        out[find(i)] = min(d, out.get(find(i), d))
+    return {d: out[find(i)] for i, (d, _, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("cell", [S.CELL_MEMBERS, 3])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(S, "CELL_MEMBERS", cell)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    vocabulary = [word() for _ in range(3000)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randint(150, 400))) for _ in range(40)]
+    for t in texts[:6]:
+        for _ in range(8):
+            w = t.split()
+            for at in r.sample(range(len(w)), k=max(1, len(w) // 150)):
+                w[at] = r.choice(vocabulary)
+            texts.append(" ".join(w))
+        texts.append(t.upper())
+        half = t.split()
+        texts.append(" ".join(half[: len(half) // 2] + r.choices(vocabulary, k=len(half) // 2)))
+    texts += [None, "", " \n", "one two", "ONE two", "three"]
+    r.shuffle(texts)
+    rows = [(i, t, "z") for i, t in enumerate(texts)]
+    want = similar(rows)
+    got = {d: d for d in want} | {x.doc_id: x.component_id for x in S.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == want
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     text = " ".join(f"w{i}" for i in range(80))
-    rows = [(4, text, "a"), (2, text, "b"), (2, text, "c"), (9, "other words here now", "d"), (None, text, "e"), (7, None, "f"), (8, "", "g")]
+    near = text + " more"
+    rows = [(4, text, "a"), (2, near, "b"), (2, near, "c"), (9, "other words here now", "d"), (None, text, "e"), (7, None, "f"), (8, "", "g")]
     docs = spark.createDataFrame(rows, SCHEMA)
     kept = S.deduplicate(docs)
     assert kept.columns == docs.columns
