@@ -14,4 +14,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_neighbours": neighbours.op10_neighbours,
 }
-ORACLE_SQL = {"op8_mixing": mixing.OP8_SQL}
+ORACLE_SQL = {"op1_substring": substring.OP1_SQL, "op8_mixing": mixing.OP8_SQL}

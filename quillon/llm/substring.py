@@ -200,3 +200,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_substring(spark, sf_dir: str) -> DataFrame:
     return summarize(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, p + k AS q FROM windows JOIN firsts USING (s), range(50) AS r(k) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM d
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
