@@ -70,13 +70,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Rows alike in id and size are told apart only by order, so their takes are dealt among them by count.
     """
     row, size, at, taken = (fresh(docs, c) for c in ("_id", "_size", "_at", "_taken"))
-    counted = docs.withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
-    takes = mix(docs, id_col, text_col, source_col).where("taken > 0").groupBy(F.col("doc_id").alias(row), F.col("size").alias(size)).agg(F.array_sort(F.collect_list("taken")).alias(taken))
-    ids = W.partitionBy(F.col(id_col), F.col(size)).orderBy(F.col(text_col), F.col(source_col))
-    joined = counted.withColumn(at, F.row_number().over(ids)).alias("d").join(takes.alias("t"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"t.{row}")) & (F.col(f"d.{size}") == F.col(f"t.{size}")))
+    # one key without nulls serves the numbering and the join, so texts are shuffled once
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    counted = docs.withColumn(row, key).withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
+    found = mix(docs, id_col, text_col, source_col).where("taken > 0")
+    takes = found.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(row), F.col("size").alias(size)).agg(F.array_sort(F.collect_list("taken")).alias(taken))
+    ids = W.partitionBy(row, size).orderBy(F.col(text_col), F.col(source_col))
+    joined = counted.where(F.col(size) > 0).withColumn(at, F.row_number().over(ids)).join(takes, [row, size])
     words = F.get(F.col(taken), F.col(at) - 1)
-    parts = F.expr(f"explode(transform(sequence(0, cast((`{at}n` - 1) div d.`{size}` as int)), k -> least(d.`{size}`, `{at}n` - k * d.`{size}`)))")
-    spread = joined.withColumn(f"{at}n", words).where(f"`{at}n` > 0").select("d.*", parts.alias(f"{at}k"))
+    parts = F.expr(f"explode(transform(sequence(0, cast((`{at}n` - 1) div `{size}` as int)), k -> least(`{size}`, `{at}n` - k * `{size}`)))")
+    spread = joined.withColumn(f"{at}n", words).where(f"`{at}n` > 0").select(*[F.col(f"`{c}`") for c in docs.columns], size, parts.alias(f"{at}k"))
     cut = F.when(F.col(f"{at}k") < F.col(size), F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col(f"{at}k").cast("int")), " ")).otherwise(F.col(text_col))
     return spread.withColumn(text_col, cut).select(*docs.columns)
 
