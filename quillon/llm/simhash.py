@@ -90,19 +90,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Wide sketches: SimHashes of WIDE_BITS bits, of the distinct words and of the distinct five-word shingles of a text.
 WIDE_BITS, WIDE_SHINGLE = 1024, 5
+#: Texts link from this Jaccard similarity of their shingle sets, as a fraction.
+SIMILAR = (4, 5)
 #: Blocks of the word sketch, three bytes each. A text whose shingles are 0.8 similar differs in about 8 % of these bits,
 #: so one of the 42 blocks agrees with a chance of 0.999, and of unrelated texts one in 400,000 pairs shares a block.
 WIDE_BLOCKS = WIDE_BITS // 24
-#: Bits of the shingle sketch in which linked texts differ, at most. At a Jaccard similarity of 0.8 the mean is 155, the deviation 11.
-WIDE_DISTANCE = 174
+#: Bits of the shingle sketch in which a candidate pair differs, at most; exact similarity decides what is left. At 0.8 the mean is
+#: 155 and the deviation 11, for sets of four and five shingles (the worst case) 192 and 12.5, so this is seven deviations off.
+WIDE_DISTANCE = 280
 #: Members of a block that meet in one cell, on average at most; larger blocks become pairs of parts.
 CELL_MEMBERS = 2048
 _SEEDS = np.random.default_rng(99).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
 
 
-def wide_sketch(features: list[bytes]) -> np.ndarray:
-    """A SimHash of WIDE_BITS bits, as bytes: a bit is set if it is set in over half of the features' hashes."""
-    base = np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64, len(features))
+def wide_sketch(base: np.ndarray) -> np.ndarray:
+    """A SimHash of WIDE_BITS bits, as bytes: a bit is set if it is set in over half of the hashes that the features' 64-bit hashes `base` give."""
     ones = np.zeros(WIDE_BITS, np.int64)
     for i in range(0, len(base), 2048):
         h = base[i : i + 2048, None] ^ _SEEDS[None, :]
@@ -112,87 +114,155 @@ def wide_sketch(features: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(base), bitorder="little")
 
 
+def _hashes(features) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of WIDE_SHINGLE words; of all words together if they are fewer."""
+    grams = map(b" ".join, zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False)) if len(words) >= WIDE_SHINGLE else [b" ".join(words)]
+    return np.unique(_hashes(grams))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, d1, d2, blocks, sketch): digests of the lower-cased words, keys of the word sketch's blocks, shingle sketch."""
-    offsets = np.arange(WIDE_BLOCKS, dtype=np.int32) << 24
+    """Rows (doc_id, t, node, n, keys, sketch): a digest of the lower-cased words, the number of shingles, keys of the word sketch's blocks, shingle sketch."""
+    offsets = np.arange(WIDE_BLOCKS, dtype=np.int64) << 24
 
     def run(batches):
         for batch in slices(batches):
-            digests, blocks, sketches = [], [], []
-            for text in texts_of(batch.column(1)):
+            nodes, sizes, keys, sketches = [], [], [], []
+            for text in texts_of(batch.column(2)):
                 words = text.translate(ASCII_LOWER).split()
-                digest = xxhash.xxh3_128_intdigest(b" ".join(words))
-                grams = set(map(b" ".join, zip(*(words[i:] for i in range(WIDE_SHINGLE)), strict=False))) or {b" ".join(words)}
-                b = wide_sketch(list(set(words))).reshape(-1)[: 3 * WIDE_BLOCKS].reshape(-1, 3).astype(np.int32)
-                blocks.append(offsets + (b[:, 0] << 16) + (b[:, 1] << 8) + b[:, 2])
-                digests.append((digest >> 64, digest & (1 << 64) - 1))
-                sketches.append(wide_sketch(list(grams)).tobytes())
-            d = np.array(digests, np.uint64).view(np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(blocks) + 1, dtype=np.int32) * WIDE_BLOCKS), pa.array(np.concatenate(blocks)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), keys, pa.array(sketches, pa.binary())], ["doc_id", "d1", "d2", "blocks", "sketch"])
-
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, blocks array<int>, sketch binary")
-
-
-def linked_cell(nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) that connect what is linked among `nodes`: pairs of sketches within WIDE_DISTANCE, as a spanning star of each component."""
-    n = len(nodes)
-    near = np.zeros((n, n), bool)
-    for i in range(0, n, 32):
-        near[i : i + 32] = np.bitwise_count(sketches[i : i + 32, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int32) <= WIDE_DISTANCE
-    label = np.arange(n)
-    while True:
-        least = np.array([label[row].min() for row in near])
-        if (least == label).all():
-            break
-        label = least
-    moved = np.flatnonzero(label != np.arange(n))
-    return nodes[moved], nodes[label[moved]]
+                grams = shingles(words)
+                b = wide_sketch(_hashes(set(words))).reshape(-1)[: 3 * WIDE_BLOCKS].reshape(-1, 3).astype(np.int64)
+                keys.append(offsets + (b[:, 0] << 16) + (b[:, 1] << 8) + b[:, 2])
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                sizes.append(len(grams))
+                sketches.append(wide_sketch(grams).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(keys), _lists(sketches)], ["doc_id", "t", "node", "n", "keys", "sketch"])
 
+    return docs.mapInArrow(run, "doc_id long, t long, node long, n long, keys array<long>, sketch array<long>")
+
+
+def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The `pairs` (a, b) whose numbers of shingles and sketches allow a similarity of 0.8."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
+    return sized.where(apart <= WIDE_DISTANCE).select("a", "b")
 
-def _cells(dealt: DataFrame) -> DataFrame:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The `pairs` (a, b) whose shingle sets are 0.8 similar or more; the sets are made only of texts in a pair."""
 
     def run(batches):
-        now, nodes, sketches = None, [], []
+        for batch in slices(batches):
+            sets = [shingles(text.translate(ASCII_LOWER).split()).view(np.int64) for text in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["node", "grams"])
+
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    picked = nodes.join(used, "node", "left_semi").select("node", "doc_id", "t")
+    own = texts.join(picked, ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"])
+    sets = materialize(own.mapInArrow(run, "node long, grams array<long>"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}"))
+    least, whole = SIMILAR
+    enough = (least + whole) * F.size(F.array_intersect("ga", "gb")) >= least * (F.size("ga") + F.size("gb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+
+
+def open_pairs(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray):
+    """Pairs (a, b), a < b, of nodes of a cell with different labels whose sizes and sketches allow a link, in parts."""
+    for i in range(0, len(nodes), 32):
+        mine = np.s_[i : i + 32]
+        near = (nodes[mine, None] < nodes) & (labels[mine, None] != labels)
+        near &= SIMILAR[1] * np.minimum(sizes[mine, None], sizes) >= SIMILAR[0] * np.maximum(sizes[mine, None], sizes)
+        if near.any():
+            near &= np.bitwise_count(sketches[mine, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int32) <= WIDE_DISTANCE
+        x, y = np.nonzero(near)
+        yield nodes[i + x], nodes[y]
+
+
+def _cells(dealt: DataFrame) -> DataFrame:
+    def run(batches):
+        now, rows = None, []
 
         def close():
-            edges = linked_cell(np.array(nodes), np.frombuffer(b"".join(sketches), np.uint64).reshape(len(nodes), -1)) if len(nodes) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in edges], schema=schema)
+            if len(rows) > 1:
+                nodes, labels, sizes = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+                sketches = np.array([r[3] for r in rows], np.int64).view(np.uint64)
+                for a, b in open_pairs(nodes, labels, sizes, sketches):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            for key, node, sketch in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if key != now:
-                    yield close()
-                    now, nodes, sketches = key, [], []
-                nodes.append(node)
-                sketches.append(sketch)
-        yield close()
+                    yield from close()
+                    now, rows = key, []
+                rows.append(row)
+        yield from close()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _roots(sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (node, root) of the nodes that link to others; root is one of the group.
+
+    All pairs of nodes that share a key are candidates. First each node meets one pivot of each of its keys (one of few,
+    so that large groups make few pairs), and what is 0.8 similar links. Then in keys that still hold several groups, all
+    pairs of different groups follow. A pair that is never compared is in one group already, so the groups are exact.
+    """
+    spark = sketched.sparkSession
+    nodes = materialize(sketched.groupBy("node").agg(F.min(F.struct("doc_id", "t", "n", "keys", "sketch")).alias("m")).select("node", "m.*"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    # node digests are random numbers: the least of them after a change of bits is a random member
+    salt = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(4)))
+    pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(salt)).alias("least")).where("n > 1")
+    shared = materialize(pivots.select("key", "n", F.col("least").bitwiseXOR(salt).alias("pivot")))
+    met = members.join(shared, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    first = materialize(_allowed(met, nodes))
+    groups = materialize(connected_components(_verified(first, nodes, texts)))
+
+    labelled = members.join(shared.where("n > 2").select("key"), "key").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    labelled = materialize(labelled)
+    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    several = materialize(several.select("key", F.ceil(F.col("n") / CELL_MEMBERS).cast("int").alias("parts")))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = labelled.join(several, "key").select("key", "node", "label", mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    placed = dealt.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "label").join(nodes.select("node", "n", "sketch"), "node")
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cells = placed.repartition(count, "key", "i", "j").select("key", "i", "j", "node", "label", "n", "sketch").sortWithinPartitions("key", "i", "j")
+    second = materialize(_cells(cells).distinct().join(first, ["a", "b"], "left_anti"))
+    if second.isEmpty():
+        return groups
+    stars = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected_components(stars.unionByName(_verified(second, nodes, texts)))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, t, root) of the rows of `docs` that have an id; t is a hash of the text, root the same number for all of a group."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    sketched = materialize(_sketched(texts))
+    return sketched.join(_roots(sketched, texts), "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, component_id) for documents that are near-duplicates of others: five-word shingles about 0.8 similar or more, or a chain of such.
+    """Rows (doc_id, component_id) for documents that are near-duplicates of others: five-word shingle sets of a Jaccard similarity of 0.8 or more, or a chain of such.
 
-    Texts with the same words in any case are one node. Nodes that share a block of their word sketch are compared by
-    their shingle sketches' Hamming distance; a cell gives a spanning star of each component it finds, not all its pairs.
-    A block with many members is cut into parts by a hash, and each pair of parts is a cell, so all pairs are still seen.
+    Texts with the same words in any case (by a 64-bit digest) are one node. Nodes that share a key are candidates; sizes
+    and SimHash distance drop what cannot be 0.8 similar, and the shingle sets (of 64-bit hashes) decide the rest.
+    Keys with many members are cut into parts by a hash, and each pair of parts is a cell, so all pairs are still seen.
     Rows without an id take no part; rows of one id are one document.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = materialize(_sketched(rows))
-    nodes = materialize(sketched.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "blocks", "sketch")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("node"), "m.blocks", "m.sketch"))
-    members = nodes.select("node", F.explode("blocks").alias("block"))
-    shared = materialize(members.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / CELL_MEMBERS).cast("int").alias("parts")))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    met = members.join(shared, "block").select("node", "block", mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    placed = met.select("block", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node").join(nodes.select("node", "sketch"), "node")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    edges = _cells(placed.repartition(n, "block", "i", "j").select("block", "i", "j", "node", "sketch").sortWithinPartitions("block", "i", "j"))
-    copies = sketched.select("doc_id", "d1", "d2").join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return connected_components(edges.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    rows = materialize(_grouped(docs, id_col, text_col))
+    firsts = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(firsts, "root").select("doc_id", "component_id").distinct()
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
