@@ -88,17 +88,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide sketches: SimHashes of WIDE_BITS bits, of the distinct words and of the distinct five-word shingles of a text.
+#: Wide sketches: SimHashes of WIDE_BITS bits of the distinct five-word shingles of a text.
 WIDE_BITS, WIDE_SHINGLE = 1024, 5
 #: Texts link from this Jaccard similarity of their shingle sets, as a fraction.
 SIMILAR = (4, 5)
-#: Blocks of the word sketch, three bytes each. A text whose shingles are 0.8 similar differs in about 8 % of these bits,
-#: so one of the 42 blocks agrees with a chance of 0.999, and of unrelated texts one in 400,000 pairs shares a block.
-WIDE_BLOCKS = WIDE_BITS // 24
+#: Texts, about, whose shingles tell which are common; those in this many of them are, and so many at most are told apart.
+SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 200_000
 #: Bits of the shingle sketch in which a candidate pair differs, at most; exact similarity decides what is left. At 0.8 the mean is
 #: 155 and the deviation 11, for sets of four and five shingles (the worst case) 192 and 12.5, so this is seven deviations off.
 WIDE_DISTANCE = 280
-#: Members of a block that meet in one cell, on average at most; larger blocks become pairs of parts.
+#: Members of a key that meet in one cell, on average at most; larger keys become pairs of parts.
 CELL_MEMBERS = 2048
 _SEEDS = np.random.default_rng(99).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
 
@@ -129,9 +128,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Hashes of the shingles that many of about SAMPLE_TEXTS texts, picked by hash, have: the most common last."""
+
+    def run(batches):
+        for batch in slices(batches):
+            for text in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.translate(ASCII_LOWER).split()).view(np.int64))], ["gram"])
+
+    share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+    picked = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").mapInArrow(run, "gram long")
+    often = picked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    return np.array([r.gram for r in often.orderBy(F.desc("n"), "gram").limit(COMMON_SHINGLES).collect()][::-1], np.int64)
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n sorted shingles, in one order for all texts: those not in `common` by hash, then common ones by rank.
+
+    Of two sets of a similarity of 0.8 or more, each shares at least 0.8 of itself with the other. The first shared shingle
+    in the order has all other shared ones behind it, so it is in both prefixes: no such pair is without a shared key,
+    whatever the order is. Common shingles come last only because rare ones make few candidates.
+    """
+    n = len(grams)
+    place = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        place = np.where(common[at] == grams, rank[at] + 1, 0)
+    least, whole = SIMILAR
+    return grams[np.argsort(place, kind="stable")[: n - -(-least * n // whole) + 1]]
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, t, node, n, keys, sketch): a digest of the lower-cased words, the number of shingles, keys of the word sketch's blocks, shingle sketch."""
-    offsets = np.arange(WIDE_BLOCKS, dtype=np.int64) << 24
+    """Rows (doc_id, t, node, n, keys, sketch): a digest of the lower-cased words, the number of shingles, the first of them (see `prefix`), their sketch."""
+    found = common_shingles(docs)
+    rank = np.argsort(found, kind="stable")
+    common = found[rank]
 
     def run(batches):
         for batch in slices(batches):
@@ -139,8 +170,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for text in texts_of(batch.column(2)):
                 words = text.translate(ASCII_LOWER).split()
                 grams = shingles(words)
-                b = wide_sketch(_hashes(set(words))).reshape(-1)[: 3 * WIDE_BLOCKS].reshape(-1, 3).astype(np.int64)
-                keys.append(offsets + (b[:, 0] << 16) + (b[:, 1] << 8) + b[:, 2])
+                keys.append(prefix(np.sort(grams.view(np.int64)), common, rank))
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                 sizes.append(len(grams))
                 sketches.append(wide_sketch(grams).view(np.int64))
@@ -255,7 +285,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, component_id) for documents that are near-duplicates of others: five-word shingle sets of a Jaccard similarity of 0.8 or more, or a chain of such.
 
-    Texts with the same words in any case (by a 64-bit digest) are one node. Nodes that share a key are candidates; sizes
+    Texts with the same words in any case (by a 64-bit digest) are one node. Nodes whose prefixes share a shingle are
+    candidates, which no pair of a similarity of 0.8 misses; sizes
     and SimHash distance drop what cannot be 0.8 similar, and the shingle sets (of 64-bit hashes) decide the rest.
     Keys with many members are cut into parts by a hash, and each pair of parts is a cell, so all pairs are still seen.
     Rows without an id take no part; rows of one id are one document.

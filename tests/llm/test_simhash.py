@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -151,3 +152,30 @@ def test_links_start_at_exactly_four_fifths(spark):
         a = [f"v{r.randrange(5000)}" for _ in range(274)]
         pairs.append((" ".join(a), " ".join([*a[: common + 4], *r.choices(a, k=270 - common)])))
     assert linked_pairs(spark, pairs) == [True, False, False, False] * 8
+
+
+def test_long_texts_of_few_words_link_with_fresh_words(spark):
+    r = random.Random(8)
+    pairs = []
+    for k in range(40):
+        a = [f"w{k}_{r.randrange(400)}" for _ in range(4000)]
+        b = list(a)
+        for at in r.sample(range(4000), k=80):
+            b[at] = f"id{r.random()}"
+        grams = [{tuple(w[i : i + 5]) for i in range(3996)} for w in (a, b)]
+        assert len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1])
+        pairs.append((" ".join(a), " ".join(b)))
+    assert linked_pairs(spark, pairs) == [True] * 40
+
+
+@pytest.mark.parametrize("common", [[], list(range(0, 400, 3))])
+def test_prefixes_of_similar_sets_meet(common):
+    r = np.random.default_rng(3)
+    order, rank = np.array(sorted(common), np.int64), r.permutation(len(common))
+    for n in [1, 4, 5, 6, 9, 10, 11, 49, 100]:
+        for _ in range(200):
+            a = r.choice(400, n, replace=False)
+            b = np.r_[a[r.permutation(n)[: n - r.integers(0, n // 5 + 1)]], 400 + np.arange(r.integers(0, n // 5 + 1))]
+            shared = len(np.intersect1d(a, b))
+            if shared >= 0.8 * (n + len(b) - shared):
+                assert len(np.intersect1d(S.prefix(np.sort(a), order, rank), S.prefix(np.sort(b), order, rank)))
