@@ -36,13 +36,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MOST_EPOCHS) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of `docs`.
 
-    size counts words (null text: 0). Within a source, rows follow the MD5 of their id, a hash-random order that
+    Those of `mix_by_source` without the source. size counts words (null text: 0). Within a source, rows follow the MD5 of their id, a hash-random order that
     reruns repeat; whole epochs are taken while the budget lasts and the last one is cut at the exact word. Keys are
     cut into ranges of RANGE_ROWS rows by their leading hex digits; sums of ranges are accumulated first, then rows
     within their range, so a source with a third of all rows spreads over many tasks. Rows alike in id and size are
     one entry with a count until the end. A null id hashes like an empty one; a null source is a source. An empty
     table gives an empty table.
     """
+    return mix_by_source(docs, id_col, text_col, source_col, weights, share, cap).drop("source")
+
+
+def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MOST_EPOCHS) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken): `mix` with each row's source."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
     sizes = materialize(rows)
@@ -50,7 +55,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("n_rows") / RANGE_ROWS) / F.log(F.lit(16.0)))).cast("int")
     plan = materialize(targets.withColumn("digits", digits))
     entries = sizes.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("n"))
-    ranged = entries.join(plan, entries.source.eqNullSafe(plan.source)).select("rank", F.expr("substring(key, 1, digits)").alias("range"), "key", "doc_id", "size", "n", "source_size", "target")
+    ranged = entries.join(plan, entries.source.eqNullSafe(plan.source)).select(entries.source, "rank", F.expr("substring(key, 1, digits)").alias("range"), "key", "doc_id", "size", "n", "source_size", "target")
     within = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     summed = ranged.groupBy("rank", "range").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     starts = summed.select("rank", "range", F.coalesce(F.sum("words").over(W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -60,22 +65,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("before") - F.col("copy") * F.col("size")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return copies.withColumn("epochs", epochs).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return copies.withColumn("epochs", epochs).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """`docs` as the mix takes them: a row for each epoch, none where nothing is taken.
 
     A document cut by the budget keeps its first words, joined by one space; rows without words go, as they take
-    nothing. Rows alike in id and size are told apart only by order, so their takes are dealt among them by count.
+    nothing. Rows alike in id, source and size are told apart only by order, so their takes are dealt among them by count.
     """
     row, size, at, taken = (fresh(docs, c) for c in ("_id", "_size", "_at", "_taken"))
     # one key without nulls serves the numbering and the join, so texts are shuffled once
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    counted = docs.withColumn(row, key).withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
-    found = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    takes = found.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(row), F.col("size").alias(size)).agg(F.array_sort(F.collect_list("taken")).alias(taken))
-    ids = W.partitionBy(row, size).orderBy(F.col(text_col), F.col(source_col))
+    key = lambda i, s: F.to_json(F.array(F.col(i).cast("string"), F.col(s).cast("string")))
+    counted = docs.withColumn(row, key(id_col, source_col)).withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
+    found = mix_by_source(docs, id_col, text_col, source_col).where("taken > 0")
+    takes = found.groupBy(key("doc_id", "source").alias(row), F.col("size").alias(size)).agg(F.array_sort(F.collect_list("taken")).alias(taken))
+    ids = W.partitionBy(row, size).orderBy(F.col(text_col))
     joined = counted.where(F.col(size) > 0).withColumn(at, F.row_number().over(ids)).join(takes, [row, size])
     words = F.get(F.col(taken), F.col(at) - 1)
     parts = F.expr(f"explode(transform(sequence(0, cast((`{at}n` - 1) div `{size}` as int)), k -> least(`{size}`, `{at}n` - k * `{size}`)))")

@@ -63,6 +63,15 @@ def test_documents_follow_the_mix(spark):
     assert words == {k: v for k, v in want.items() if v}
 
 
+def test_takes_stay_with_their_source(spark):
+    rows = [(None, f"{s}{k} x y", s, k) for s in ("a", "b", "c", None) for k in range(6)] + [(1, "w " * 40, "b", 0)]
+    sizes = spark.createDataFrame([(s, len(t.split())) for _, t, s, _ in rows], "source string, size long")
+    got = defaultdict(int)
+    for r in M.mixed_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.source] += len(r.text.split())
+    assert got == {r.source: int(r.target) for r in M.source_targets(sizes).collect()}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.mix(empty).count() == 0 and M.mixed_documents(empty).count() == 0
