@@ -297,14 +297,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each near-duplicate group kept: the one with the smallest id (one row, if it is repeated).
+    """`docs` with one document of each near-duplicate group kept: the one with the smallest id, of one id the one with the smallest hash of its text.
 
-    Groups are those of `similar_groups`. Rows without an id are kept. Columns and other rows' values stay as they are.
+    Groups link as in `similar_groups`, but rows of one id and different texts are documents of their own. Of rows alike
+    in id and text the least by the other columns stays. Rows without an id are kept. Columns and values stay as they are.
     """
-    row = fresh(docs, "_row")
-    gone = similar_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(row))
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, docs[id_col].cast("long") == gone[row], "left_anti")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    row, t, m = (fresh(docs, c) for c in ("_row", "_t", "_m"))
+    grouped = materialize(_grouped(docs, id_col, text_col))
+    firsts = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    gone = grouped.join(firsts, "root").where(F.struct("doc_id", "t") != F.col("first")).select(F.col("doc_id").alias(row), F.col("t").alias(t)).distinct()
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn(row, F.col(id_col).cast("long")).withColumn(t, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = keyed.join(gone, [row, t], "left_anti").groupBy(row, t).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(m))
+    return kept.select(*[F.col(m)[c].alias(c) for c in docs.columns]).unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

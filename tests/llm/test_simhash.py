@@ -179,3 +179,10 @@ def test_prefixes_of_similar_sets_meet(common):
             shared = len(np.intersect1d(a, b))
             if shared >= 0.8 * (n + len(b) - shared):
                 assert len(np.intersect1d(S.prefix(np.sort(a), order, rank), S.prefix(np.sort(b), order, rank)))
+
+
+def test_other_texts_of_a_repeated_id_stay(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "a"), (2, text + " more", "b"), (2, "another text of the same id", "c"), (3, "x", "e"), (3, "x", "d"), (3, "y", "f")]
+    kept = S.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(tuple, kept)) == [(1, text, "a"), (2, "another text of the same id", "c"), (3, "x", "d"), (3, "y", "f")]
