@@ -27,6 +27,7 @@ class StorageError(QuillonError):
     """Stored objects are missing, broken or in the way."""
 
 
+#: The names of the errors, by family.
 def _family(base: type[QuillonError], names: str) -> None:
     for name in names.split():
         globals()[name] = type(name, (base,), {"__module__": __name__, "__doc__": None})
@@ -48,12 +49,12 @@ _family(PlannerError, "InvalidLogicalShape ConflictingTerminalOperators")  # noq
 _family(
     TransactionError,
     "DatasetAlreadyExists DatasetNotFound NonFiniteStoredComponent ManifestOverflow RowIdReservationDurability IndeterminateManifestPublication "
-    "UnreasonableCapacity SchemaMismatch BatchSchemaMismatch RowNotFound RowNotLive DuplicateTarget InvalidUpdateShape Conflict "
+    "UnreasonableCapacity BatchSchemaMismatch RowNotFound RowNotLive DuplicateTarget InvalidUpdateShape Conflict "
     "InsufficientHistory RowIdRangeMismatch ReservedColumnName Clock InvalidRetentionPolicy InvalidCompactionPolicy TransactionFinished",
 )
 _family(
     StorageError,
-    "EmptyDataFile CorruptManifest UnsafeManifestPath CorruptDataFile CorruptSegment LegacyFormatNeedsMigration UnknownSchemaVersion MigrationSourceVersion "
+    "EmptyDataFile CorruptManifest UnsafeManifestPath CorruptDataFile CorruptSegment UnknownSchemaVersion MigrationSourceVersion "
     "MigrationUnsupportedDirection MigrationUnsupported MigrationIncompatibleType MigrationLossyConversion SchemaVersionChanged "
     "MissingRowIdHighWater DurabilityUnsupported ObjectAlreadyExists ObjectNotFound PublicationIndeterminate",
 )

@@ -51,18 +51,23 @@ def condition(schema: Schema, f: Filter, compare=comparison) -> Column:
     return left & right if isinstance(f, And) else left | right
 
 
-def may_match(schema: Schema, f: Filter | None, stats: dict[str, list]) -> bool:
+def may_match(schema: Schema, f: Filter | None, stats: dict[str, list], total_order: bool = False) -> bool:
     """Whether a file with these column minima and maxima may hold a row that `f` keeps.
 
-    NOT, != and columns without statistics say nothing, so they never prune; an AND prunes if either side does.
+    NOT, != and columns without statistics say nothing, so they never prune; an AND prunes if either side does. In total
+    order NaN, which the statistics leave out, is above every number, so of floats only what lies below a number prunes.
     """
     if isinstance(f, And):
-        return may_match(schema, f.left, stats) and may_match(schema, f.right, stats)
+        return may_match(schema, f.left, stats, total_order) and may_match(schema, f.right, stats, total_order)
     if isinstance(f, Or):
-        return may_match(schema, f.left, stats) or may_match(schema, f.right, stats)
+        return may_match(schema, f.left, stats, total_order) or may_match(schema, f.right, stats, total_order)
     if not isinstance(f, Compare) or f.column not in stats or f.op == "!=":
         return True
     (low, high), value = stats[f.column], schema.literal(f).value
+    if isinstance(value, float) and total_order:
+        if math.isnan(value) or f.op in (">", ">="):
+            return True
+        return low <= value if f.op != "=" else low <= value <= high  # -0.0 < 0.0 there, so equal bounds stay
     if isinstance(value, float) and math.isnan(value):
         return False
     if isinstance(value, str):

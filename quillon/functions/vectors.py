@@ -1,31 +1,36 @@
-"""Distances between a vector column and a constant, summed in double precision from first to last component."""
+"""Distances between the rows of a matrix and a vector, in double precision."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold(vector: Column, query: Sequence[float], term) -> Column:
-    pairs = F.zip_with(vector, F.array(*[F.lit(float(x)) for x in query]), lambda a, b: term(a.cast("double"), b))
-    return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column without nulls, one a row."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-def squared_l2(vector: Column, query: Sequence[float]) -> Column:
-    return _fold(vector, query, lambda a, b: (a - b) * (a - b))
+def squared_l2(rows: np.ndarray, query: Sequence[float]) -> np.ndarray:
+    apart = rows - np.asarray(query, float)
+    return np.einsum("ij,ij->i", apart, apart)
 
 
-def dot_distance(vector: Column, query: Sequence[float]) -> Column:
+def dot_distance(rows: np.ndarray, query: Sequence[float]) -> np.ndarray:
     """The negative dot product: smaller is more alike."""
-    return -_fold(vector, query, lambda a, b: a * b)
+    return -(rows @ np.asarray(query, float))
 
 
-def cosine_distance(vector: Column, query: Sequence[float]) -> Column:
+def cosine_distance(rows: np.ndarray, query: Sequence[float]) -> np.ndarray:
     """One minus the cosine; 0 if either vector is zero."""
-    norm = F.sqrt(_fold(vector, [0.0] * len(query), lambda a, b: a * a)) * sum(float(x) ** 2 for x in query) ** 0.5
-    return F.when(norm > 0, F.lit(1.0) - _fold(vector, query, lambda a, b: a * b) / norm).otherwise(F.lit(0.0))
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows)) * float(np.sqrt(np.square(np.asarray(query, float)).sum()))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(norm > 0, 1 - rows @ np.asarray(query, float) / norm, 0.0)
 
 
 def finite(vector: Column) -> Column:

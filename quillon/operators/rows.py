@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors as E
-from ..functions.vectors import squared_l2
+from ..functions.vectors import matrix, squared_l2
 from ..plans.requests import Aggregate
 from ..plans.schema import ROW_ID, Field, Schema
+from ..sources import deletions
 
 #: Ranges of deleted ids that are written into the filter itself; more are joined.
 MOST_INLINE_RANGES = 64
 
 
 def without_tombstones(df: DataFrame, ranges: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Rows whose id lies in none of the ranges: a plain condition for few ranges, else an anti join of the ids.
+    """Rows whose id lies in none of the ranges: a plain condition for few ranges, else anti joins of their bits and blocks.
 
-    The ids' table is built from its ranges by the executors, and Spark broadcasts it only if its size allows.
+    A range of any width makes a row for each 64 ids at its ends and one for each block of ids between (`deletions.of_ranges`).
     """
     if not ranges:
         return df
@@ -26,8 +29,9 @@ def without_tombstones(df: DataFrame, ranges: tuple[tuple[int, int], ...]) -> Da
         for lo, hi in ranges:
             dead = dead | ((F.col(ROW_ID) == lo) if lo == hi else F.col(ROW_ID).between(lo, hi))
         return df.where(~dead)
-    table = df.sparkSession.createDataFrame(list(ranges), "lo long, hi long").select(F.explode(F.sequence("lo", "hi")).alias(ROW_ID))
-    return df.join(table, ROW_ID, "left_anti")
+    for vector in deletions.of_ranges(df.sparkSession, list(ranges)):
+        df = df if vector is None else deletions.without(df, vector)
+    return df
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,8 +39,8 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def float_key(column: Column) -> Column:
-    """A string that keeps 0.0 and -0.0 apart, as grouping by bits does; every NaN is one key."""
-    return column.cast("string")
+    """Whether a float is -0.0: with the value, which takes both zeros and every NaN as one, it groups as the bits do."""
+    return F.when(column == 0, column.cast("string") == "-0.0").otherwise(F.lit(False))
 
 
 def aggregate_column(a: Aggregate, field: Field) -> Column:
@@ -50,12 +54,12 @@ def aggregate_column(a: Aggregate, field: Field) -> Column:
 
 def group(df: DataFrame, schema: Schema, keys: list[str], aggregates: list[Aggregate]) -> DataFrame:
     """One row for each distinct key tuple, null being a value; float keys group by bits. Without aggregates: the keys alone."""
-    floats = [k for k in keys if schema.field(k).type == "float64"]
-    by = [F.col(f"`{k}`") for k in keys if k not in floats] + [float_key(F.col(f"`{k}`")).alias(f"_bits{i}") for i, k in enumerate(floats)]
+    signs = {k: f"_sign{i}" for i, k in enumerate(keys) if schema.field(k).type == "float64"}
+    by = [F.col(f"`{k}`") for k in keys] + [float_key(F.col(f"`{k}`")).alias(sign) for k, sign in signs.items()]
     outs = [aggregate_column(a, schema.field(a.column)) for a in aggregates]
-    firsts = [F.first(f"`{k}`").alias(k) for k in floats]
-    grouped = df.groupBy(*by).agg(*outs, *firsts) if outs or firsts else df.select(*by).distinct()
-    return grouped.select(*[F.col(f"`{c}`") for c in [*keys, *[a.alias for a in aggregates]]])
+    grouped = df.groupBy(*by).agg(*outs) if outs else df.select(*by).distinct()
+    shown = [F.when(F.col(signs[k]), F.lit(-0.0)).otherwise(F.col(f"`{k}`")).alias(k) if k in signs else F.col(f"`{k}`") for k in keys]
+    return grouped.select(*shown, *[F.col(f"`{a.alias}`") for a in aggregates])
 
 
 def checked(df: DataFrame, aggregates: list[Aggregate], schema: Schema) -> list:
@@ -72,11 +76,32 @@ def checked(df: DataFrame, aggregates: list[Aggregate], schema: Schema) -> list:
 def nearest(df: DataFrame, query: tuple[float, ...], k: int, columns: list[str] | None, distance=squared_l2, column: str = "vector") -> DataFrame:
     """The k rows nearest to `query`, ties by row id, null vectors left out: a top-k of each task, merged.
 
-    Hydrated columns ride along through the top-k, so no lookup follows.
+    A task measures whole Arrow batches and passes on its k nearest only, so little is sorted or shuffled. Hydrated
+    columns are not carried through: the k hits, which are few, are joined back to the rows.
     """
-    hits = df.where(F.col(column).isNotNull()).withColumn("_distance", distance(F.col(column), query))
-    kept = [F.col(ROW_ID).alias("row_id"), F.col("_distance").alias("distance"), *[F.col(f"`{c}`") for c in columns or []]]
-    return hits.orderBy("_distance", ROW_ID).limit(k).select(*kept)
+    schema = pa.schema([("row_id", pa.int64()), ("distance", pa.float64())])
+
+    def run(batches):
+        ids, scores = np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            ids = np.concatenate([ids, batch.column(0).to_numpy()])
+            scores = np.concatenate([scores, distance(matrix(batch.column(1)), query)])
+            if len(ids) > k:
+                near = np.lexsort((ids, scores))[:k]
+                ids, scores = ids[near], scores[near]
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], schema=schema)
+
+    rows = df.where(F.col(f"`{column}`").isNotNull())
+    hits = rows.select(ROW_ID, f"`{column}`").mapInArrow(run, "row_id long, distance double").orderBy("distance", "row_id").limit(k)
+    return hits if columns is None else hydrated(df, hits, columns)
+
+
+def hydrated(df: DataFrame, hits: DataFrame, columns: list[str]) -> DataFrame:
+    """`hits` (row_id, distance), k rows at most, with `columns` of the rows of `df`."""
+    named = [F.col(f"`{c}`") for c in columns]
+    found = df.select(F.col(ROW_ID).alias("row_id"), *named).join(F.broadcast(hits), "row_id")
+    return found.select("row_id", "distance", *named).orderBy("distance", "row_id")
 
 
 def id_runs(ids: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from contextlib import suppress
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -12,12 +13,17 @@ from .. import errors as E
 from ..functions import filters
 from ..plans import planner as P
 from ..plans.requests import Filter, GroupByRequest, RowLookupRequest, ScanRequest, VectorSearchRequest
-from ..plans.schema import RESERVED, ROW_ID, TIMESTAMP
-from ..sources import datafile
+from ..plans.results import HYDRATED, UNRESOLVED, Groups, Hit, Hits
+from ..plans.results import NOT_FOUND as UNFOUND
+from ..plans.results import TOMBSTONED as DEAD
+from ..plans.schema import RESERVED, ROW_ID, TIMESTAMP, WithHidden
+from ..sources import datafile, deletions
 from ..sources.manifest import DataFile, Manifest, holds
-from . import rows
+from . import rows, vector_index
 
 LIVE, TOMBSTONED, NOT_FOUND = "live", "tombstoned", "not_found"
+#: Bytes of live sets that a snapshot keeps, at most.
+LIVE_SET_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -37,6 +43,7 @@ class Snapshot:
         self.dataset, self.manifest = dataset, manifest
         self.spark, self.backend = dataset.spark, dataset.backend
         self._live_sets: dict[Filter, DataFrame] = {}
+        self._live_bytes = 0
 
     @property
     def version(self) -> int:
@@ -52,9 +59,17 @@ class Snapshot:
 
     # -- files ---------------------------------------------------------------------------------------------------------
 
-    def surviving(self, f: Filter | None) -> list[DataFile]:
-        """Files that may hold a row that `f` keeps, by their statistics."""
-        return [x for x in self.manifest.files if x.row_count and filters.may_match(self.schema, f, x.stats)] if f is not None else list(self.manifest.files)
+    def surviving(self, f: Filter | None, primitive: bool = False) -> list[DataFile]:
+        """Files that may hold a row that `f` keeps, by their statistics; for a primitive scan also by ids and commit time, and floats by total order."""
+        if f is None:
+            return list(self.manifest.files)
+        schema = WithHidden(self.schema.fields) if primitive else self.schema
+        return [x for x in self.manifest.files if x.row_count and filters.may_match(schema, f, x.stats | hidden_stats(x) if primitive else x.stats, primitive)]
+
+    def deletions(self, files: list[DataFile]) -> deletions.Vector | None:
+        """The deletion vectors that may name a row of `files`."""
+        found = tuple(d for d in self.manifest.deletions if any(f.row_count and d.first <= f.last and d.last >= f.first for f in files))
+        return deletions.read(self.spark, self.backend, found) if found else None
 
     def frame(self, files: list[DataFile] | None = None, ids: bool = False, timestamps: bool = False) -> DataFrame:
         """Live rows of `files` (all, if not given), with row ids if asked for.
@@ -63,8 +78,8 @@ class Snapshot:
         so pushdown and vectorised decoding stay whole.
         """
         files = list(self.manifest.files) if files is None else files
-        dead = [f for f in files if f.row_count and _meets(self.manifest.tombstones, f)]
-        clean = [f for f in files if not (f.row_count and _meets(self.manifest.tombstones, f))]
+        dead = [f for f in files if f.row_count and self._meets(f)]
+        clean = [f for f in files if not (f.row_count and self._meets(f))]
         names = [*self.schema.names, *([ROW_ID] if ids else []), *([TIMESTAMP] if timestamps else [])]
         parts = []
         if clean or not dead:
@@ -73,9 +88,19 @@ class Snapshot:
             lo, hi = min(f.first for f in dead), max(f.last for f in dead)
             ranges = tuple(r for r in self.manifest.tombstones if r[0] <= hi and r[1] >= lo)
             filtered = rows.without_tombstones(datafile.read(self.spark, self.backend, self.schema, dead, True, timestamps), ranges)
+            vector = self.deletions(dead)
+            filtered = filtered if vector is None else deletions.without(filtered, vector)
             parts.append(filtered.select(*[f"`{n}`" for n in names]))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def alive(self, df: DataFrame) -> DataFrame:
+        """Rows of `df` (with row ids) that are not deleted in this version."""
+        df = rows.without_tombstones(df, self.manifest.tombstones)
+        return deletions.without(df, deletions.read(self.spark, self.backend, self.manifest.deletions)) if self.manifest.deletions else df
+
+    def _meets(self, f: DataFile) -> bool:
+        return _meets(self.manifest.tombstones, f) or any(d.first <= f.last and d.last >= f.first for d in self.manifest.deletions)
+
     # -- scans ---------------------------------------------------------------------------------------------------------
 
     def scan_all(self, columns: list[str] | None = None) -> DataFrame:
@@ -87,15 +112,15 @@ class Snapshot:
         return rows.project(self.frame(ids=ROW_ID in columns, timestamps=TIMESTAMP in columns), columns)
 
     def scan_predicate(self, predicate: Filter, columns: list[str] | None = None) -> DataFrame:
-        """The primitive scan: floats compare by total order, and the predicate reads the projected columns only."""
+        """The primitive scan: floats compare by total order, and the predicate reads the projected columns only, hidden ones too."""
         columns = self.schema.names if columns is None else columns
-        self.schema.check_filter(predicate)
+        schema = WithHidden(self.schema.fields)
+        schema.check_filter(predicate)
         for c in predicate.columns():
             if c not in columns:
                 raise E.UnknownColumn(f"predicate column '{c}' is not scanned", name=c)
-        files = self.surviving(predicate) if not _has_floats(self.schema, predicate) else list(self.manifest.files)
-        found = self.frame(files, ids=ROW_ID in columns, timestamps=TIMESTAMP in columns)
-        return rows.project(found.where(filters.condition(self.schema, predicate, filters.total_order_comparison)), columns)
+        found = self.frame(self.surviving(predicate, primitive=True), ids=ROW_ID in columns, timestamps=TIMESTAMP in columns)
+        return rows.project(found.where(filters.condition(schema, predicate, filters.total_order_comparison)), columns)
 
     def scan(self, request: ScanRequest | None = None, **kwargs) -> DataFrame:
         """Live rows that the filter keeps, projected in request order."""
@@ -116,10 +141,26 @@ class Snapshot:
         return self._filtered(f, ids=True).select(F.col(ROW_ID).alias("row_id"))
 
     def live_set(self, f: Filter) -> DataFrame:
-        """`matching_row_ids`, kept for later use of the same filter on this snapshot (which never changes)."""
-        if f not in self._live_sets:
-            self._live_sets[f] = self.matching_row_ids(f).persist()
-        return self._live_sets[f]
+        """`matching_row_ids`, kept for later use of the same filter on this snapshot (which never changes).
+
+        What is kept has at most LIVE_SET_BYTES in all; a set that does not fit beside the others is not kept.
+        """
+        self.schema.check_filter(f)
+        if f in self._live_sets:
+            return self._live_sets[f]
+        found = self.matching_row_ids(f).persist()
+        size = 8 * found.count()
+        if self._live_bytes + size > LIVE_SET_BYTES:
+            found.unpersist()
+            return self.matching_row_ids(f)
+        self._live_bytes += size
+        self._live_sets[f] = found
+        return found
+
+    def __del__(self):
+        for found in self.__dict__.get("_live_sets", {}).values():
+            with suppress(Exception):  # the session may have ended
+                found.unpersist()
 
     # -- lookup --------------------------------------------------------------------------------------------------------
 
@@ -137,10 +178,27 @@ class Snapshot:
         found = df.select(*[f"`{c}`" for c in wanted]).take(1)
         if not found:
             return Lookup(request.row_id, NOT_FOUND, tuple(wanted))
-        if holds(self.manifest.tombstones, request.row_id):
+        if self.deleted(request.row_id):
             return Lookup(request.row_id, TOMBSTONED, tuple(wanted))
         return Lookup(request.row_id, LIVE, tuple(wanted), found[0])
 
+    def deleted(self, row_id: int) -> bool:
+        """Whether a tombstone or a deletion vector names the id; the vectors are read only where they may."""
+        return holds(self.manifest.tombstones, row_id) or row_id in self.deleted_ids([row_id])
+
+    def deleted_ids(self, ids: list[int]) -> set[int]:
+        """Those of `ids` that a deletion vector names, found in one job."""
+        wanted = [i for i in ids if any(d.first <= i <= d.last for d in self.manifest.deletions)]
+        if not wanted:
+            return set()
+        table = self.spark.createDataFrame([(i,) for i in wanted], f"{ROW_ID} long")
+        return {r[0] for r in deletions.within(table, deletions.read(self.spark, self.backend, self.manifest.deletions)).collect()}
+
+    def exists(self, row_id: int) -> bool | None:
+        """Whether a file holds the id, deleted or not, as far as the manifest can say: None if files that store ids may."""
+        owners = self.owner(row_id)
+        return None if any(f.stored for f in owners) else bool(owners)
+
     # -- grouping ------------------------------------------------------------------------------------------------------
 
     def group_by(self, request: GroupByRequest) -> DataFrame:
@@ -149,18 +207,59 @@ class Snapshot:
         return rows.group(self._filtered(request.filter), self.schema, list(request.group_by), [a for a, _ in outputs])
 
     def collect_groups(self, request: GroupByRequest) -> list[Row]:
-        return rows.checked(self.group_by(request), list(request.aggregates), self.schema)
+        """The groups, collected, after their shape and types are checked."""
+        found = rows.checked(self.group_by(request), list(request.aggregates), self.schema)
+        kinds = tuple((a.alias, kind) for a, kind in self.schema.check_group_by(request))
+        return list(Groups(request.group_by, kinds, tuple(found)).rows)
 
     def planned_group_by(self, request: GroupByRequest) -> tuple[P.PhysicalPlan, DataFrame]:
         return self.explain_group_by(request), self.group_by(request)
 
     # -- vectors -------------------------------------------------------------------------------------------------------
 
-    def vector_search(self, request: VectorSearchRequest) -> DataFrame:
-        """The true k nearest live rows that the filter keeps: row_id, squared distance, hydrated columns."""
+    def vector_search(self, request: VectorSearchRequest, probes: int | None = None, live: DataFrame | None = None) -> DataFrame:
+        """The k nearest live rows that the filter keeps: row_id, squared distance, hydrated columns.
+
+        Without `probes` they are the true nearest of all rows; with it, of those in so many cells of each index segment
+        (`vector_index`). `live` (row_id), if given, restricts the rows further.
+        """
         columns = self.schema.check_vector_search(request)
+        if probes is not None or live is not None:
+            hits = vector_index.search(self, request, probes or 1 << 30, live)
+            return hits if columns is None else rows.hydrated(self.frame(ids=True), hits, columns)
         return rows.nearest(self._filtered(request.filter, ids=True), request.query, request.k, columns, column=request.column)
 
+    def vector_search_legacy(self, query: tuple[float, ...], k: int, predicate: Filter | None = None) -> DataFrame:
+        """The primitive search: (row_id, distance) of the k nearest rows that a predicate by total order keeps."""
+        self.schema.check_vector_search(VectorSearchRequest(query, k))
+        found = self.frame(self.surviving(predicate, primitive=True), ids=True, timestamps=predicate is not None and TIMESTAMP in predicate.columns())
+        if predicate is not None:
+            schema = WithHidden(self.schema.fields)
+            schema.check_filter(predicate)
+            found = found.where(filters.condition(schema, predicate, filters.total_order_comparison))
+        return rows.nearest(found, query, k, None)
+
+    def collect_hits(self, request: VectorSearchRequest) -> Hits:
+        """The hits of a search, collected, each with its row if columns are asked for, after count, order and rows are checked."""
+        columns = self.schema.check_vector_search(request)
+        found = self.vector_search(replace(request, hydrate=False)).collect()
+        if columns is None:
+            return Hits(request.k, None, tuple(Hit(r.row_id, r.distance) for r in found))
+        return Hits(request.k, tuple(columns), tuple(self.hydrate([(r.row_id, r.distance) for r in found], columns)))
+
+    def hydrate(self, found: list[tuple[int, float]], columns: list[str]) -> list[Hit]:
+        """Hits (row_id, distance) with their rows, read in one job from the files whose ids may be theirs; why, where there is none."""
+        ids = [i for i, _ in found]
+        files = list({f.name: f for i in ids for f in self.owner(i)}.values())
+        df = datafile.read(self.spark, self.backend, self.schema, files, ids=True).where(F.col(ROW_ID).isin(ids))
+        read = {r[0]: r for r in df.select(ROW_ID, *[f"`{c}`" for c in columns]).collect()} if ids else {}
+        dead = self.deleted_ids(ids) | {i for i in ids if holds(self.manifest.tombstones, i)}
+        out = []
+        for i, d in found:
+            reason = UNFOUND if i not in read else DEAD if i in dead else None
+            out.append(Hit(i, d, UNRESOLVED, reason=reason) if reason else Hit(i, d, HYDRATED, Row(*columns)(*read[i][1:])))
+        return out
+
     def planned_vector_search(self, request: VectorSearchRequest) -> tuple[P.PhysicalPlan, DataFrame]:
         return self.explain_vector_search(request), self.vector_search(request)
 
@@ -204,7 +303,7 @@ class Snapshot:
 
     def zone_maps(self) -> DataFrame:
         """Minimum and maximum of each column of each file, as text."""
-        table = [(f.name, f.first, c, str(lo), str(hi)) for f in self.manifest.files for c, (lo, hi) in sorted(f.stats.items())]
+        table = [(f.name, f.first, c, str(lo), str(hi)) for f in self.manifest.files if f.row_count for c, (lo, hi) in sorted((f.stats | hidden_stats(f)).items())]
         return self.spark.createDataFrame(table, "file string, first_row_id long, column string, minimum string, maximum string")
 
 
@@ -219,5 +318,6 @@ def _meets(ranges, f: DataFile) -> bool:
     return at >= 0 and ranges[at][1] >= f.first
 
 
-def _has_floats(schema, f: Filter) -> bool:
-    return any(schema.field(c).type == "float64" for c in f.columns())
+def hidden_stats(f: DataFile) -> dict[str, list]:
+    """Bounds of a file's hidden columns: all its rows have the time of their commit."""
+    return {ROW_ID: [f.first, f.last], TIMESTAMP: [f.timestamp, f.timestamp]}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -11,8 +12,8 @@ from ..functions import filters
 from ..plans import planner as P
 from ..plans.requests import GroupByRequest, RowLookupRequest, ScanRequest, VectorSearchRequest
 from ..plans.schema import Schema
-from ..sources import datafile
-from ..sources.manifest import DataFile, holds, normalized
+from ..sources import datafile, deletions
+from ..sources.manifest import DataFile, Deletion, holds, normalized
 from . import rows
 from .snapshot import LIVE, NOT_FOUND, TOMBSTONED, Lookup, Snapshot
 
@@ -27,12 +28,24 @@ class Transaction:
         self.attempt = dataset._next_attempt()
         self.files: list[DataFile] = []
         self.targets: dict[int, DataFile | None] = {}
+        self.deletions: list[Deletion] = []
+        #: (name, micro-batch) of a stream that is committed at most once.
+        self.stream: tuple[str, int] | None = None
         self._batches = 0
 
     @property
     def schema(self) -> Schema:
         return self.base.schema
 
+    @property
+    def open(self) -> bool:
+        return self.state == ACTIVE
+
+    @property
+    def objects(self) -> list[str]:
+        """Keys of what the transaction has written."""
+        return [*(f.name for f in self.files), *(n for d in self.deletions for n in d.names)]
+
     def _active(self) -> None:
         if self.state != ACTIVE:
             raise E.TransactionFinished(f"the transaction is {self.state}", state=self.state)
@@ -66,14 +79,31 @@ class Transaction:
         self.targets[row_id] = None
 
     def delete_where(self, f) -> int:
-        """Stage the deletion of every live row that the filter keeps; how many."""
+        """Stage the deletion of every live row that the filter keeps; how many.
+
+        The ids go from Spark into a deletion vector, never through the driver or the manifest.
+        """
         self._active()
-        ids = [r.row_id for r in self.base.matching_row_ids(f).collect()]
-        for i in ids:
-            if i in self.targets:
-                raise E.DuplicateTarget(f"row {i} is already targeted", row_id=i)
-        self.targets |= dict.fromkeys(ids)
-        return len(ids)
+        spark, backend = self.dataset.spark, self.dataset.backend
+        with self.dataset._preparing():
+            staged = deletions.write(spark, backend, deletions.of_ids(self.base.matching_row_ids(f)), self.attempt, self._batches)
+            self._batches += 1
+        if staged is None:
+            return 0
+        twice = self._named_in(staged, list(self.targets))
+        if not twice and self.deletions:
+            one, two = (deletions.read(spark, backend, d) for d in ((staged,), tuple(self.deletions)))
+            both = one.words.join(two.words.withColumnRenamed("mask", "other"), "word").selectExpr("word", "mask & other AS mask").where("mask <> 0")
+            twice = [r[0] for r in deletions.ids(deletions.Vector(both, 0)).limit(1).collect()]
+        if twice:
+            for key in staged.names:
+                backend.delete(key)
+            raise E.DuplicateTarget(f"row {twice[0]} is already targeted", row_id=twice[0])
+        self.deletions.append(staged)
+        return staged.count
+
+    def _named_in(self, staged: Deletion, ids: list[int]) -> list[int]:
+        return sorted(Snapshot(self.dataset, replace(self.base.manifest, deletions=(staged,))).deleted_ids(ids))
 
     def update(self, row_id: int, replacement: DataFrame) -> None:
         """Stage a deletion and the one row that takes its place, under a new id."""
@@ -86,12 +116,15 @@ class Transaction:
         self.targets[row_id] = files[0]
 
     def _check_target(self, row_id: int) -> None:
-        if row_id in self.targets:
+        """Raise unless the row is live in the base and not targeted yet. The manifest knows the ids of files that do not store them."""
+        if row_id in self.targets or any(self._named_in(d, [row_id]) for d in self.deletions if d.first <= row_id <= d.last):
             raise E.DuplicateTarget(f"row {row_id} is already targeted", row_id=row_id)
-        found = self.base.lookup(RowLookupRequest(row_id, ()))
-        if found.outcome == NOT_FOUND:
+        there = self.base.exists(row_id)
+        if there is None:
+            there = self.base.lookup(RowLookupRequest(row_id, ())).outcome != NOT_FOUND
+        if not there:
             raise E.RowNotFound(f"no row {row_id}", row_id=row_id)
-        if found.outcome == TOMBSTONED:
+        if self.base.deleted(row_id):
             raise E.RowNotLive(f"row {row_id} is deleted", row_id=row_id)
 
     # -- overlay reads -------------------------------------------------------------------------------------------------
@@ -99,8 +132,10 @@ class Transaction:
     def frame(self) -> DataFrame:
         """The base without targeted rows, then the staged rows."""
         self._active()
-        base = self.base.frame(ids=bool(self.targets))
-        base = rows.without_tombstones(base, normalized(list(self.targets), ())).select(*[f"`{n}`" for n in self.schema.names])
+        base = rows.without_tombstones(self.base.frame(ids=bool(self.targets or self.deletions)), normalized(list(self.targets), ()))
+        if self.deletions:
+            base = deletions.without(base, deletions.read(self.dataset.spark, self.dataset.backend, tuple(self.deletions)))
+        base = base.select(*[f"`{n}`" for n in self.schema.names])
         return base.unionByName(datafile.read(self.dataset.spark, self.dataset.backend, self.schema, self.files)) if self.files else base
 
     def scan(self, request: ScanRequest) -> DataFrame:
@@ -118,9 +153,11 @@ class Transaction:
         """A base row as this transaction sees it: its replacement if updated, tombstoned if deleted. Staged inserts have no id yet."""
         self._active()
         request = request if isinstance(request, RowLookupRequest) else RowLookupRequest(request)
+        wanted = self.schema.projection(request.columns)
         if request.row_id not in self.targets:
+            if any(self._named_in(d, [request.row_id]) for d in self.deletions if d.first <= request.row_id <= d.last):
+                return Lookup(request.row_id, TOMBSTONED, tuple(wanted))
             return self.base.lookup(request)
-        wanted = self.schema.projection(request.columns)
         staged = self.targets[request.row_id]
         if staged is None:
             return Lookup(request.row_id, TOMBSTONED, tuple(wanted))
@@ -129,7 +166,7 @@ class Transaction:
 
     def vector_search(self, request: VectorSearchRequest) -> DataFrame:
         self._active()
-        if self.files or self.targets:
+        if self.files or self.targets or self.deletions:
             raise E.UnsupportedTransactionRead("vector search does not see staged changes")
         return self.base.vector_search(request)
 
@@ -162,6 +199,7 @@ class Transaction:
             self.commit() if kind is None else self.abort()
 
     def still_live(self, ranges) -> list[int]:
+        """Targets that `ranges` of a later version name."""
         return [i for i in self.targets if holds(ranges, i)]
 
 

@@ -62,17 +62,19 @@ class Filter:
 
 @dataclass(frozen=True)
 class Compare(Filter):
+    """A column against a constant. Two are the same only if the constant's type and bits are (1, 1.0 and True are three)."""
+
     column: str
     op: str
-    value: Any
+    value: Any = field(compare=False)
+    identity: Literal = field(init=False, repr=False)
 
     def __post_init__(self):
         if self.op not in OPERATORS and self.op != "==":
             raise ValueError(f"unknown operator {self.op!r}")
         if self.op == "==":
             object.__setattr__(self, "op", "=")
-        if isinstance(self.value, float):
-            object.__setattr__(self, "value", Literal.of(self.value))
+        object.__setattr__(self, "identity", Literal.of(self.value))
 
     def columns(self) -> list[str]:
         return [self.column]

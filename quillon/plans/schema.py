@@ -50,12 +50,12 @@ class Schema:
         for f in self.fields:
             check_name(f.name)
             if f.name in seen:
-                raise E.DuplicateSchemaColumn(f"dataset schema contains duplicate column '{f.name}'", name=f.name)
+                raise E.DuplicateSchemaColumn(f"two columns of the schema are named '{f.name}'", name=f.name)
             seen.add(f.name)
             if not f.scalar and f.dimensions is None:
-                raise E.UnsupportedType(f"unsupported type {f.type!r} of column '{f.name}'", name=f.name)
+                raise E.UnsupportedType(f"column '{f.name}': no such type as {f.type!r}", name=f.name)
             if f.dimensions == 0:
-                raise E.ZeroVectorDimensions(f"vector column '{f.name}' must have at least one dimension", name=f.name)
+                raise E.ZeroVectorDimensions(f"column '{f.name}': a vector without dimensions", name=f.name)
 
     @staticmethod
     def of(*fields: tuple | Field) -> Schema:
@@ -76,7 +76,7 @@ class Schema:
         for f in self.fields:
             if f.name == name:
                 return f
-        raise E.UnknownColumn(f"unknown dataset column '{name}'", name=name)
+        raise E.UnknownColumn(f"the dataset has no column '{name}'", name=name)
 
     def projection(self, columns) -> list[str]:
         if columns is None:
@@ -85,7 +85,7 @@ class Schema:
         for name in columns:
             self.field(name)
             if name in seen:
-                raise E.DuplicateProjection(f"projection contains duplicate column '{name}'", name=name)
+                raise E.DuplicateProjection(f"column '{name}' is asked for twice", name=name)
             seen.add(name)
         return list(columns)
 
@@ -101,17 +101,18 @@ class Schema:
             raise TypeError(f"not a filter: {f!r}")
 
     def literal(self, c: Compare) -> Literal:
+        """The constant as the column's type reads it: plain ints are unsigned where the column is."""
         return Literal.of(c.value, self.field(c.column).type)
 
     def _check_comparison(self, c: Compare) -> None:
         field = self.field(c.column)
         if not field.scalar:
-            raise E.NonScalarFilterColumn(f"filter cannot compare non-scalar column '{c.column}'", name=c.column)
+            raise E.NonScalarFilterColumn(f"column '{c.column}' holds vectors, which filters do not compare", name=c.column)
         actual = self.literal(c).type
         if actual != field.type:
-            raise E.FilterTypeMismatch(f"filter for '{c.column}' has type {actual}, expected {field.type}", column=c.column, expected=field.type, actual=actual)
+            raise E.FilterTypeMismatch(f"column '{c.column}' is {field.type}, but is compared with {actual}", column=c.column, expected=field.type, actual=actual)
         if field.type == "bool" and c.op not in ("=", "!="):
-            raise E.InvalidComparisonOperator(f"operator {c.op} is invalid for '{c.column}' with type bool", column=c.column, operator=c.op, data_type="bool")
+            raise E.InvalidComparisonOperator(f"column '{c.column}' is bool, for which there is no {c.op}", column=c.column, operator=c.op, data_type="bool")
 
     def check_scan(self, request: ScanRequest) -> list[str]:
         columns = self.projection(request.columns)
@@ -122,13 +123,13 @@ class Schema:
     def check_group_by(self, request: GroupByRequest) -> list[tuple[Aggregate, str]]:
         """Each aggregate with the logical type it makes."""
         if not request.group_by:
-            raise E.EmptyGroupBy("group-by requires at least one group column")
+            raise E.EmptyGroupBy("nothing to group by")
         names = set()
         for name in request.group_by:
             if not self.field(name).scalar:
-                raise E.NonScalarGroupColumn(f"group-by cannot use non-scalar column '{name}'", name=name)
+                raise E.NonScalarGroupColumn(f"column '{name}' holds vectors, which make no groups", name=name)
             if name in names:
-                raise E.DuplicateGroupColumn(f"group-by contains duplicate column '{name}'", name=name)
+                raise E.DuplicateGroupColumn(f"column '{name}' is grouped by twice", name=name)
             names.add(name)
         if request.filter is not None:
             self.check_filter(request.filter)
@@ -136,7 +137,7 @@ class Schema:
         for a in request.aggregates:
             check_name(a.alias)
             if a.alias in names:
-                raise E.DuplicateAggregateAlias(f"aggregate aliases must be unique; duplicate alias '{a.alias}'", alias=a.alias)
+                raise E.DuplicateAggregateAlias(f"two columns of the result would be named '{a.alias}'", alias=a.alias)
             names.add(a.alias)
             out.append((a, self._aggregate_type(a)))
         return out
@@ -147,27 +148,35 @@ class Schema:
             return "uint64"
         if a.function != "count" and field.type in NUMERIC:
             return "float64" if a.function == "avg" else field.type
-        raise E.InvalidAggregateType(f"{a.function} cannot aggregate '{a.column}' with type {field.type}", column=a.column, function=a.function, actual=field.type)
+        raise E.InvalidAggregateType(f"no {a.function} of column '{a.column}', which is {field.type}", column=a.column, function=a.function, actual=field.type)
 
     def check_vector_search(self, request: VectorSearchRequest) -> list[str] | None:
         """The columns that hits are hydrated with, or None."""
         if request.k <= 0:
-            raise E.InvalidVectorK("vector search k must be greater than zero")
+            raise E.InvalidVectorK(f"k is {request.k}; a search asks for one hit or more")
         if request.column != "vector":
-            raise E.UnsupportedVectorColumn(f"vector search supports only the logical column 'vector'; '{request.column}' is unsupported", name=request.column)
+            raise E.UnsupportedVectorColumn(f"searches look at the column 'vector', not at '{request.column}'", name=request.column)
         field = self.field(request.column)
         if field.dimensions is None:
-            raise E.NotVectorColumn(f"vector search requires a vector column; '{field.name}' has type {field.type}", name=field.name, actual=field.type)
+            raise E.NotVectorColumn(f"column '{field.name}' is {field.type}, not a vector", name=field.name, actual=field.type)
         for i, x in enumerate(request.query):
             if not math.isfinite(x):
-                raise E.NonFiniteVectorComponent(f"vector query component {i} is not finite", index=i)
+                raise E.NonFiniteVectorComponent(f"component {i} of the query is {x}", index=i)
         if len(request.query) != field.dimensions:
-            raise E.VectorDimensionMismatch(f"vector query dimension mismatch: expected {field.dimensions}, found {len(request.query)}", expected=field.dimensions, actual=len(request.query))
+            raise E.VectorDimensionMismatch(f"the query has {len(request.query)} components, the column {field.dimensions}", expected=field.dimensions, actual=len(request.query))
         if request.filter is not None:
             self.check_filter(request.filter)
         return None if request.hydrate is False else self.projection(request.hydrate)
 
 
+@dataclass(frozen=True)
+class WithHidden(Schema):
+    """A schema whose filters may also compare the hidden columns, as primitive scans do."""
+
+    def field(self, name: str) -> Field:
+        return Field(name, "int64", False) if name in RESERVED else super().field(name)
+
+
 def check_name(name: str) -> None:
     if name in RESERVED:
-        raise E.ReservedColumn(f"column name '{name}' is reserved for internal use", name=name)
+        raise E.ReservedColumn(f"'{name}' names a hidden column", name=name)
