@@ -11,7 +11,7 @@ from .. import errors as E
 from ..functions.vectors import matrix, squared_l2
 from ..plans.requests import Aggregate
 from ..plans.schema import ROW_ID, Field, Schema
-from ..sources import deletions
+from ..sources import datafile, deletions
 
 #: Ranges of deleted ids that are written into the filter itself; more are joined.
 MOST_INLINE_RANGES = 64
@@ -67,12 +67,22 @@ def checked(df: DataFrame, aggregates: list[Aggregate], schema: Schema) -> list:
     try:
         return df.collect()
     except Exception as error:
+        datafile.raise_if_corrupt(error)
         if "ARITHMETIC_OVERFLOW" not in str(error):
             raise
         sums = [a.alias for a in aggregates if a.function == "sum" and schema.field(a.column).type == "int64"]
         raise E.Int64SumOverflow(f"int64 sum overflow in '{sums[0]}'" if len(sums) == 1 else f"int64 sum overflow in one of {sums}", alias=sums[0], aliases=sums) from error
 
 
+def collected(df: DataFrame) -> list:
+    """The rows of `df`; a data file that cannot be read is a typed error."""
+    try:
+        return df.collect()
+    except Exception as error:
+        datafile.raise_if_corrupt(error)
+        raise
+
+
 def nearest(df: DataFrame, query: tuple[float, ...], k: int, columns: list[str] | None, distance=squared_l2, column: str = "vector") -> DataFrame:
     """The k rows nearest to `query`, ties by row id, null vectors left out: a top-k of each task, merged.
 

@@ -128,6 +128,17 @@ class Snapshot:
         columns = self.schema.check_scan(request)
         return rows.project(self._filtered(request.filter), columns)
 
+    def collect_scan(self, request: ScanRequest) -> list[Row]:
+        """The rows of a scan, collected; a broken data file raises CorruptDataFile."""
+        return rows.collected(self.scan(request))
+
+    def read_file(self, name: str, columns: list[str] | None = None) -> DataFrame:
+        """All physical rows of one file, deleted ones too, with only `columns` decoded."""
+        found = [f for f in self.manifest.files if f.name == name]
+        if not found:
+            raise E.ObjectNotFound(f"version {self.version} has no file {name!r}", key=name)
+        return rows.project(datafile.read(self.spark, self.backend, self.schema, found), self.schema.projection(columns))
+
     def planned_scan(self, request: ScanRequest) -> tuple[P.PhysicalPlan, DataFrame]:
         return self.explain_scan(request), self.scan(request)
 

@@ -56,9 +56,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> Dataset:
     return _LOADED[key]
 
 
+#: Rows of a range that a load sorts, about.
+RANGE_ROWS = 50_000
+
+
 def in_order(df: DataFrame, *keys: str) -> DataFrame:
-    """`df` sorted over few range partitions, so that row ids follow the keys."""
-    return df.repartitionByRange(4, *keys).sortWithinPartitions(*keys)
+    """`df` sorted over range partitions, as many as its rows call for, so that row ids follow the keys."""
+    return df.repartitionByRange(-(-df.count() // RANGE_ROWS) or 1, *keys).sortWithinPartitions(*keys)
 
 
 def ordered(spark: SparkSession, sf_dir: str, table: str, *keys: str) -> Dataset:
@@ -169,12 +173,37 @@ def _filter_query(name: str, f: Filter, where: str, table: str | None = None) ->
         ORACLE_SQL[name] = f"SELECT {key} FROM {name_of} WHERE {where}"
 
 
+#: A price that occurs, so that = keeps a row.
+SOME_PRICE = "(SELECT min(o_totalprice) FROM orders WHERE o_totalprice > 150000.0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0)"
+
+
+def _some_price(spark: SparkSession, d: str) -> float:
+    return spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 150000.0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0").agg(F.min("o_totalprice")).first()[0]
+
+
+def _price_query(name: str, op: str, where: str) -> None:
+    QUERIES[name] = lambda spark, d: odd_orders(spark, d).snapshot().scan(ScanRequest(("o_orderkey",), C("price", op, _some_price(spark, d))))
+    ORACLE_SQL[name] = f"SELECT o_orderkey FROM {ODD} WHERE {where}"
+
+
+def _count_query(name: str, f: Filter, where: str) -> None:
+    """How many rows a filter keeps, beside how many there are; for filters that may keep none."""
+
+    def made(spark, d):
+        view = odd_orders(spark, d).snapshot()
+        parts = [view.scan(ScanRequest(("o_orderkey",), g)).agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, g in (("kept", f), ("all", None))]
+        return parts[0].unionByName(parts[1])
+
+    QUERIES[name] = made
+    ORACLE_SQL[name] = f"SELECT 'kept' AS what, count(*) FILTER (WHERE {where}) AS n FROM {ODD} UNION ALL SELECT 'all', count(*) FROM {ODD}"
+
+
 for _key, _op in _OPS.items():
-    _plain = f"price {_op.replace('!=', '<>')} 150000.0"
+    _plain = f"price {_op.replace('!=', '<>')} {SOME_PRICE}"
     _filter_query(f"filter_{_key}", C("o_custkey", _op, 700), f"o_custkey {_op.replace('!=', '<>')} 700", ("o_orderkey", "orders"))
-    _filter_query(f"filter_{_key}_text", C("status", _op, "O"), f"status {_op.replace('!=', '<>')} 'O'")
-    _filter_query(f"filter_{_key}_float", C("price", _op, 150000.0), f"price IS NOT NULL AND (isnan(price) OR {_plain})" if _op == "!=" else f"NOT isnan(price) AND {_plain}")
-    _filter_query(f"filter_{_key}_nan", C("price", _op, math.nan), "price IS NOT NULL" if _op == "!=" else "false")
+    _filter_query(f"filter_{_key}_text", C("status", _op, "P"), f"status {_op.replace('!=', '<>')} 'P'")
+    _price_query(f"filter_{_key}_float", _op, f"price IS NOT NULL AND (isnan(price) OR {_plain})" if _op == "!=" else f"NOT isnan(price) AND {_plain}")
+    _count_query(f"filter_{_key}_nan", C("price", _op, math.nan), "price IS NOT NULL" if _op == "!=" else "false")
     _filter_query(f"filter_{_key}_unsigned", C("customer", _op, 700), f"customer {_op.replace('!=', '<>')} 700")
 _filter_query("filter_bool", C("flag", "=", True), "flag")
 _filter_query("filter_bool_ne", C("flag", "!=", True), "NOT flag")
@@ -190,8 +219,8 @@ def _(spark, d):
 
 
 for _key, _op in {k: v for k, v in _OPS.items() if k != "ne"}.items():
-    QUERIES[f"pred_{_key}"] = lambda spark, d, op=_op: load(spark, d, "orders").snapshot().scan_predicate(C("o_totalprice", op, 100000.0), ["o_orderkey", "o_totalprice"])
-    ORACLE_SQL[f"pred_{_key}"] = f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice {_op} 100000.0"
+    QUERIES[f"pred_{_key}"] = lambda spark, d, op=_op: load(spark, d, "orders").snapshot().scan_predicate(C("o_totalprice", op, _some_price(spark, d)), ["o_orderkey", "o_totalprice"])
+    ORACLE_SQL[f"pred_{_key}"] = f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice {_op} {SOME_PRICE}"
 
 
 @query("pred_and_or", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE (o_orderstatus = 'O' AND o_custkey > 500) OR o_custkey <= 20")
@@ -597,6 +626,9 @@ def _(spark, d):
     return spark.createDataFrame([(report.inventory.physical_row_count, report.inventory.tombstone_count, report.storage_bound_met)], "n long, tombstones long, bound_met boolean")
 
 
+from . import outcomes  # noqa: E402, F401 - registers its queries
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """A typed filtered grouping over lineitem, committed in two batches."""
     df = source(spark, "/root/testdata/sf0.001", "lineitem")

@@ -8,6 +8,7 @@ import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from .. import errors as E
@@ -75,6 +76,7 @@ class LocalBackend:
     def put(self, key: str, data: bytes) -> None:
         name, target = self._staged(key, data)
         os.replace(name, target)
+        target.with_name(f".{target.name}.crc").unlink(missing_ok=True)  # Hadoop's checksum of what was there
         self._sync(target.parent)
 
     def put_if_absent(self, key: str, data: bytes) -> None:
@@ -107,12 +109,20 @@ class LocalBackend:
         path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
 
 
+#: Schemes of Hadoop file systems whose rename is atomic and fails where something is.
+ATOMIC_RENAME = ("hdfs", "viewfs", "file")
+
+
 class HadoopBackend:
-    """Objects of a file system that Spark reads. put-if-absent creates without overwriting, which HDFS does atomically."""
+    """Objects of a file system that Spark reads. put-if-absent renames a finished object without overwriting, in one step.
+
+    Where renaming copies or overwrites, as in object stores, two writers could both publish a version, so those are refused.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self._jvm = root.rstrip("/"), spark.sparkContext._jvm
-        self._fs = self._path_of(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root, self._jvm, self._gateway = root.rstrip("/"), spark.sparkContext._jvm, spark.sparkContext._gateway
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path_of(self.root).getFileSystem(self._conf)
 
     def _path_of(self, url: str):
         return self._jvm.org.apache.hadoop.fs.Path(url)
@@ -143,7 +153,12 @@ class HadoopBackend:
             stream.close()
 
     def get_range(self, key: str, start: int, length: int) -> bytes:
-        return self.get(key)[start : start + length]
+        stream = self._open(key)
+        try:
+            stream.seek(start)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(self._jvm.org.apache.commons.io.input.BoundedInputStream(stream, length)))
+        finally:
+            stream.close()
 
     def _write(self, path, data: bytes, overwrite: bool) -> None:
         stream = self._fs.create(path, overwrite)
@@ -158,13 +173,21 @@ class HadoopBackend:
 
     def put_if_absent(self, key: str, data: bytes) -> None:
         path = self._path_of(self.url(key))
-        if self._fs.exists(path):
-            raise E.ObjectAlreadyExists(f"object {key!r} exists", key=key)
+        scheme = self._fs.getUri().getScheme()
+        if scheme not in ATOMIC_RENAME:
+            raise E.DurabilityUnsupported(f"no atomic put-if-absent on {scheme}://", scheme=scheme)
         part = self._path_of(f"{self.root}/{key.rpartition('/')[0]}/.tmp-{os.getpid()}-{uuid.uuid4().hex}")
         self._write(part, data, True)
-        if not self._fs.rename(part, path):
+        hadoop = self._jvm.org.apache.hadoop.fs
+        how = self._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").NONE
+        try:
+            hadoop.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._fs.makeQualified(part), self._fs.makeQualified(path), how)
+        except Py4JJavaError as error:
             self._fs.delete(part, False)
-            raise E.ObjectAlreadyExists(f"object {key!r} exists", key=key)
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise OSError(str(error.java_exception)) from error
+            raise E.ObjectAlreadyExists(f"object {key!r} exists", key=key) from None
 
     def list(self, prefix: str) -> list[ObjectMeta]:
         top = self._path_of(self.url(prefix))

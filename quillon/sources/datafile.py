@@ -15,6 +15,8 @@ from .backend import HadoopBackend, LocalBackend
 from .manifest import DATA, DataFile
 
 _FILE, _AT = "_file", "_at"
+#: Characters of a text that its column's bounds keep.
+BOUND_CHARS, LAST_CHAR = 64, "\U0010FFFF"
 
 
 def write_parts(backend: LocalBackend | HadoopBackend, df: DataFrame, attempt: int, batch: int) -> list[str]:
@@ -43,7 +45,7 @@ def describe(spark: SparkSession, backend: LocalBackend | HadoopBackend, keys: l
         if f.dimensions:
             aggs += [F.count(c).alias(f"vectors{i}"), F.count_if(~finite(c)).alias(f"odd{i}"), F.count_if(F.size(c) != f.dimensions).alias(f"long{i}")]
         elif f.type in ("int64", "float64", "utf8"):
-            x = F.when(~F.isnan(c), c) if f.type == "float64" else c
+            x = F.when(~F.isnan(c), c) if f.type == "float64" else F.substring(c, 1, BOUND_CHARS + 1) if f.type == "utf8" else c
             aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
     found = {r[_FILE]: r.asDict() for r in df.groupBy(_FILE).agg(*aggs).collect()}
     sizes = {m.key: m.bytes for folder in {k.rpartition("/")[0] for k in keys} for m in backend.list(folder)}
@@ -57,12 +59,20 @@ def describe(spark: SparkSession, backend: LocalBackend | HadoopBackend, keys: l
                 raise E.BatchSchemaMismatch(f"column '{f.name}' holds vectors that have not {f.dimensions} components", name=f.name)
             if r.get(f"odd{i}"):
                 raise E.NonFiniteStoredComponent(f"column '{f.name}' holds a non-finite component", name=f.name)
-        stats = {f.name: [r[f"min{i}"], r[f"max{i}"]] for i, f in enumerate(schema.fields) if r.get(f"min{i}") is not None}
+        stats = {f.name: _bounds(r[f"min{i}"], r[f"max{i}"]) for i, f in enumerate(schema.fields) if r.get(f"min{i}") is not None}
         vectors = [(r.get(f"vectors{i}", 0), f.dimensions) for i, f in enumerate(schema.fields) if f.dimensions]
         out.append(DataFile(key, sizes[key], r["n"], r.get("first"), r.get("last"), 0, stats, stored, vectors[0][0] if vectors else 0, vectors[0][1] if vectors and vectors[0][0] else None))
     return out
 
 
+def _bounds(low, high) -> list:
+    """Bounds of a column, of long text by its first characters: a prefix is below what it begins, the last code point above what follows."""
+    if isinstance(low, str):
+        low = low[:BOUND_CHARS]
+        high = high if len(high) <= BOUND_CHARS or high[BOUND_CHARS] == LAST_CHAR else high[:BOUND_CHARS] + LAST_CHAR
+    return [low, high]
+
+
 def numbered(files: list[DataFile], first: int) -> list[DataFile]:
     """`files` with consecutive row ids from `first` on; a file without rows has none."""
     out = []
@@ -78,6 +88,16 @@ def physical(schema: Schema, stored: bool) -> T.StructType:
     return T.StructType([*fields, *([T.StructField(ROW_ID, T.LongType())] if stored else [])])
 
 
+#: What Spark says of files that it cannot read.
+_UNREADABLE = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "PATH_NOT_FOUND", "FILE_NOT_EXIST", "is not a Parquet file", "FileNotFoundException", "Could not read footer", "CorruptedFile", "ChecksumException", "ParquetDecodingException", "ParquetFileReader", "could not verify page integrity")
+
+
+def raise_if_corrupt(error: Exception) -> None:
+    """A typed error if Spark could not read a data file."""
+    if any(x in str(error) for x in _UNREADABLE):
+        raise E.CorruptDataFile(f"a data file cannot be read: {str(error)[:300]}") from error
+
+
 def read(spark: SparkSession, backend: LocalBackend | HadoopBackend, schema: Schema, files: list[DataFile], ids: bool = False, timestamps: bool = False) -> DataFrame:
     """The logical columns of `files`, with row ids and commit times only if asked for.
 
@@ -89,7 +109,11 @@ def read(spark: SparkSession, backend: LocalBackend | HadoopBackend, schema: Sch
         some = [f for f in files if f.stored == stored and f.row_count]
         if not some:
             continue
-        df = spark.read.schema(physical(schema, stored)).parquet(*[backend.url(f.name) for f in some])
+        try:
+            df = spark.read.schema(physical(schema, stored)).parquet(*[backend.url(f.name) for f in some])
+        except Exception as error:  # a file is gone
+            raise_if_corrupt(error)
+            raise
         columns = [F.col(f"`{n}`") for n in schema.names]
         if ids and stored:
             columns.append(F.col(ROW_ID))
