@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
         return spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
     found = jsc.getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         found = jsc.getCheckpointDir()
     return found.get().rstrip("/")
@@ -60,6 +62,15 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` dealt by another function of `columns` than a join on them uses.
+
+    An aggregate that meets its own rows again shares its shuffle with the join, and then Spark cannot split the partition
+    of a very common key. Dealt anew, both sides come to the join by shuffles of their own, which it can.
+    """
+    return df.repartition(F.hash(*columns))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name starting with `stem` that `df` does not use (Spark compares names without case)."""
     used, name = {c.lower() for c in df.columns}, stem

@@ -2,76 +2,63 @@
 
 A repeated string of 400 bytes begins two suffixes that share their first 400 bytes, so equal neighbours in a sorted
 list of all suffixes (each cut at 400 bytes) show every repeat. Sorting each byte's suffix would move hundreds of times
-the text, so the list holds only suffixes that can have an equal neighbour:
+the text, so the list holds fewer, chosen by hashes that only ever rule suffixes out; what is repeated is decided by
+the bytes of the sorted suffixes alone:
 
 1. Every window of 400 bytes has an anchor: its least 32-byte gram by hash, the leftmost if it occurs twice. Equal
-   windows have equal grams at equal offsets. Consecutive windows of one anchor form a run; its bytes are a segment.
-2. Grams that occur once in the corpus leave with all their windows. A segment that occurs twice or more is repeated as
-   a whole. A segment none of whose cores (bytes that many of its windows hold) occurs in another segment leaves. What
-   is left, at the edges of repeated passages, is cut into blocks of 16 windows, and the blocks are judged likewise.
-3. The suffixes starting at those windows are range-partitioned by their leading 8 bytes and the digests of the rest with
-   sampled splitters, sorted in each bucket by multikey quicksort, and compared with neighbours, also across buckets.
+   windows have equal grams at equal offsets. Consecutive windows of one anchor form a run, and its bytes a segment.
+2. Grams that occur once in the corpus leave with all their windows. Where a segment's digest occurs twice or more, the
+   suffix from its start, cut at its end, stands for all its windows; neighbouring ones that occur together elsewhere too
+   share a suffix (`_chunked`). One of several equal segments goes on beside those whose digest occurs once. Those with no
+   core (bytes that many of its windows hold) that another segment has leave. What is left, at the edges of repeated
+   passages, is cut into blocks of BLOCK windows, treated likewise, and of the blocks that are left after that each
+   window's suffix stands for itself.
+3. These suffixes are range-partitioned by their leading bytes with sampled splitters, sorted in each bucket by multikey
+   quicksort, and compared with their neighbours, also across buckets (`repeats.equal_suffixes`).
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, record_batch, release, slices, text_blocks, texts_of
-from .repeats import repeated
+from .common import apart, fresh, materialize, record_batch, release, slices, text_blocks, texts_of
+from .repeats import equal_suffixes
+from .rolling import FIRST
 
 LENGTH, GRAM = 400, 32
-GRAMS = LENGTH - GRAM + 1
-#: Windows whose anchor lies at least this far in hold [anchor - LEFT, anchor + GRAM), the others [anchor, anchor + LENGTH - LEFT + 1).
-LEFT = 184
-#: Windows of a block; all hold the CORE bytes that its last full window starts with.
+#: Windows of a block.
 BLOCK = 16
-CORE = LENGTH - BLOCK + 1
 #: Windows of a long text that are looked at together.
 PIECE = 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-class Rolling:
-    """Hashes of all substrings of the lengths asked for, by doubling: h(2k, i) = h(k, i) * c(k) + h(k, i + k), modulo 2^64."""
+@dataclass(frozen=True)
+class Shape:
+    """Lengths that follow from `length`, the bytes of a window (GRAM + BLOCK at least)."""
 
-    def __init__(self, seed: int):
-        draw = np.random.default_rng(seed)
-        self.bytes = draw.integers(0, 1 << 64, 256, np.uint64)
-        self.factors = draw.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+    length: int = LENGTH
 
-    def __call__(self, raw: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
-        powers = {1: self.bytes[raw]}
-        k = 1
-        while 2 * k <= max(lengths) and len(powers[k]) > k:
-            powers[2 * k] = powers[k][:-k] * self.factors[k.bit_length()] + powers[k][k:]
-            k *= 2
-        found = {}
-        for length in lengths:
-            n, at, out = len(raw) - length + 1, 0, None
-            if n <= 0:
-                found[length] = np.empty(0, np.uint64)
-                continue
-            for bit in reversed(range(length.bit_length())):
-                if length >> bit & 1:
-                    part = powers[1 << bit][at : at + n]
-                    out = part.copy() if out is None else out * self.factors[32 + bit] + part
-                    at += 1 << bit
-            found[length] = _mixed(out)
-        return found
+    def __post_init__(self):
+        if self.length < GRAM + BLOCK:
+            raise ValueError(f"a window has {GRAM + BLOCK} bytes at least, not {self.length}")
 
+    @property
+    def left(self) -> int:
+        """Windows whose anchor lies at least this far in hold [anchor - left, anchor + GRAM), the others [anchor, anchor + left + GRAM)."""
+        return (self.length - GRAM) // 2
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-FIRST, SECOND = Rolling(1), Rolling(2)
+    @property
+    def core(self) -> int:
+        """Bytes that all windows of a block hold: those its last full window starts with."""
+        return self.length - BLOCK + 1
 
 
 def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,19 +72,20 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def anchor_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...] | None:
+def anchor_runs(raw: np.ndarray, at: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, ...] | None:
     """Runs of windows with one anchor in texts laid end to end at offsets `at`: text, first and last window, anchor, and hashes.
 
     The hashes: of the gram, of the first and the last window, of the bytes left and right of the anchor that the run's
     windows hold (0 where no window of the run holds them).
     """
-    long = np.flatnonzero(np.diff(at) >= LENGTH)
+    length, left = shape.length, shape.left
+    long = np.flatnonzero(np.diff(at) >= length)
     if not len(long):
         return None
-    h = FIRST(raw, (GRAM, LENGTH, LEFT + GRAM))
-    grams, windows, sides = h[GRAM], h[LENGTH], h[LEFT + GRAM]
-    least = window_minimum((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), GRAMS)
-    counts = at[long + 1] - at[long] - LENGTH + 1
+    h = FIRST(raw, (GRAM, length, left + GRAM))
+    grams, windows, sides = h[GRAM], h[length], h[left + GRAM]
+    least = window_minimum((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
+    counts = at[long + 1] - at[long] - length + 1
     first = np.cumsum(counts) - counts
     starts = np.arange(counts.sum()) + np.repeat(at[long] - first, counts)
     text = np.repeat(long, counts)
@@ -106,145 +94,207 @@ def anchor_runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...] | Non
     s0 = starts[new]
     s1 = starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]]
     text, anchor = text[new], anchor[new]
-    left = np.where(s0 <= anchor - LEFT, sides[np.maximum(anchor - LEFT, 0)], np.uint64(0))
-    right = np.where(s1 > anchor - LEFT, sides[np.minimum(anchor, len(sides) - 1)], np.uint64(0))
-    return text, s0 - at[text], s1 - at[text], anchor - at[text], grams[anchor], windows[s0], windows[s1], left, right
+    before = np.where(s0 <= anchor - left, sides[np.maximum(anchor - left, 0)], np.uint64(0))
+    behind = np.where(s1 > anchor - left, sides[np.minimum(anchor, len(sides) - 1)], np.uint64(0))
+    return text, s0 - at[text], s1 - at[text], anchor - at[text], grams[anchor], windows[s0], windows[s1], before, behind
 
 
-def _pieces(batch: pa.RecordBatch, name: str):
+def _pieces(batch: pa.RecordBatch, name: str, length: int):
     """Blocks of texts as `text_blocks` gives them, with the offset of each in its text; long texts come in overlapping pieces."""
     for first, last, raw, at in text_blocks(batch, name, PIECE):
         if len(raw) <= 2 * PIECE:
             yield first, raw, at, 0
         else:
-            for base in range(0, len(raw) - LENGTH + 1, PIECE):
-                part = raw[base : base + PIECE + LENGTH - 1]
+            for base in range(0, len(raw) - length + 1, PIECE):
+                part = raw[base : base + PIECE + length - 1]
                 yield first, part, np.array([0, len(part)]), base
 
 
-def anchors(keyed: DataFrame) -> DataFrame:
+def anchors(keyed: DataFrame, shape: Shape) -> DataFrame:
     """Anchor runs of every text of `keyed` (doc_id, tid, text)."""
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "tid", "s0", "s1", "anchor", "gram", "first", "last", "left", "right")])
 
     def run(batches):
         for batch in batches:
             ids, tids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for first, raw, at, base in _pieces(batch, "text"):
-                if (found := anchor_runs(raw, at)) is not None:
+            for first, raw, at, base in _pieces(batch, "text", shape.length):
+                if (found := anchor_runs(raw, at, shape)) is not None:
                     text, s0, s1, anchor, *hashes = found
                     yield record_batch(schema, ids[first + text], tids[first + text], s0 + base, s1 + base, anchor + base, *[x.view(np.int64) for x in hashes])
 
     return keyed.mapInArrow(run, ", ".join(f"`{f.name}` long" for f in schema))
 
 
-def _block_rows(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The ranges [lo, hi) of windows cut into blocks by their distance from the anchor: bounds, first and last window, core, anchor."""
-    h = FIRST(raw, (LENGTH, CORE))
+def block_rows(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """The ranges [lo, hi) of windows cut into blocks by their distance from the anchor: bounds, anchor, first and last window, core, 32 bits of each window."""
+    h = FIRST(raw, (shape.length, shape.core))
     least, most = (anchor - hi + 1) // BLOCK, (anchor - lo) // BLOCK
     counts = most - least + 1
     of = np.repeat(np.arange(len(lo)), counts)
     block = least[of] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     end = anchor[of] - block * BLOCK
     start, stop = np.maximum(lo[of], end - BLOCK + 1), np.minimum(hi[of], end + 1)
-    return start, stop, h[LENGTH][start].view(np.int64), h[LENGTH][stop - 1].view(np.int64), h[CORE][end].view(np.int64), anchor[of]
+    windows, cores = h[shape.length].view(np.int64), h[shape.core].view(np.int64)
+    sizes = stop - start
+    each = np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array((windows[each] >> 32).astype(np.int32)))
+    return start, stop, anchor[of], windows[start], windows[stop - 1], cores[end], lists
 
 
-def _window_rows(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The suffixes, cut at LENGTH bytes, that start in [lo, hi): bounds, leading 8 bytes in their order, two digests."""
-    at = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]))
-    lead = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        lead = lead << np.uint64(8) | raw[at + k]
-    digests = [h(raw, (LENGTH,))[LENGTH][at].view(np.int64) for h in (FIRST, SECOND)]
-    return at, at + 1, (lead ^ np.uint64(1 << 63)).view(np.int64), *digests
+#: What the suffix of a range of windows stands for.
+CHUNK, SEGMENT, BLOCK_OF, LONE = 0, 1, 2, 3
+_BLOCK = pa.schema([*[(n, pa.int64()) for n in ("doc_id", "tid", "lo", "hi", "anchor", "first", "last", "core")], ("windows", pa.list_(pa.int32()))])
+_SUFFIX = pa.schema([("level", pa.int32()), ("suffix", pa.binary()), *[(n, pa.int64()) for n in ("doc_id", "tid", "lo", "hi")]])
 
 
-def _per_range(keyed: DataFrame, ranges: DataFrame, rows_of, names: tuple[str, ...]) -> DataFrame:
-    """What `rows_of` makes of the `ranges` (doc_id, tid, r) of windows in each text, near ones together: doc_id, tid, lo, hi and `names`.
+def _spec(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int32()): "array<int>"}
+    return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
-    Offsets that rows_of gets and gives are into a stretch of the text; the first two it gives, and `anchor`, become offsets in the text.
-    """
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "tid", "lo", "hi", *names)])
+
+def _by_text(keyed: DataFrame, ranges: DataFrame, rows_of, schema: pa.Schema) -> DataFrame:
+    """What `rows_of` makes of each text and its `ranges` (doc_id, tid, r), as arrays of their fields: columns after doc_id and tid."""
 
     def run(batches):
         for batch in slices(batches):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3), strict=True)
             for doc, tid, text, found in rows:
-                raw = np.frombuffer(text, np.uint8)
-                lo, hi, anchor = (found.values.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "anchor"))
-                order = np.argsort(lo, kind="stable")
-                lo, hi, anchor = lo[order], hi[order], anchor[order]
-                i = 0
-                while i < len(lo):
-                    j = int(np.searchsorted(lo, lo[i] + PIECE, side="right"))
-                    base = int(lo[i])
-                    start, stop, *values = rows_of(raw[base : int(hi[i:j].max()) + LENGTH - 1], lo[i:j] - base, hi[i:j] - base, anchor[i:j] - base)
-                    values = [v + base if n == "anchor" else v for n, v in zip(names, values, strict=True)]
-                    yield record_batch(schema, np.full(len(start), doc), np.full(len(start), tid), start + base, stop + base, *values)
-                    i = j
-
-    by_text = ranges.groupBy("doc_id", "tid").agg(F.collect_set("r").alias("ranges"))
-    return keyed.join(by_text, ["doc_id", "tid"]).select("doc_id", "tid", "text", "ranges").mapInArrow(run, ", ".join(f"`{f.name}` long" for f in schema))
+                fields = [f.to_numpy(zero_copy_only=False) for f in found.values.flatten()]
+                for columns in rows_of(np.frombuffer(text, np.uint8), *fields):
+                    named = dict(zip([n for n in schema.names if n not in ("doc_id", "tid")], columns, strict=True))
+                    n = len(columns[0])
+                    named |= {"doc_id": np.full(n, doc), "tid": np.full(n, tid)}
+                    yield record_batch(schema, *[named[c] for c in schema.names])
 
+    collected = ranges.groupBy("doc_id", "tid").agg(F.collect_set("r").alias("ranges"))
+    return keyed.join(collected, ["doc_id", "tid"]).select("doc_id", "tid", "text", "ranges").mapInArrow(run, _spec(schema))
 
-_NO_ID = -(1 << 63)
 
+def _blocks(keyed: DataFrame, ranges: DataFrame, shape: Shape) -> DataFrame:
+    """Blocks (see `block_rows`) of `ranges` (r: lo, hi, anchor); near ones are hashed together."""
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    def rows(raw, lo, hi, anchor):
+        order = np.argsort(lo, kind="stable")
+        lo, hi, anchor = lo[order], hi[order], anchor[order]
+        i = 0
+        while i < len(lo):
+            j = int(np.searchsorted(lo, lo[i] + PIECE, side="right"))
+            base = int(lo[i])
+            start, stop, at, *values = block_rows(raw[base : int(hi[i:j].max()) + shape.length - 1], lo[i:j] - base, hi[i:j] - base, anchor[i:j] - base, shape)
+            yield (start + base, stop + base, at + base, *values)
+            i = j
 
+    return _by_text(keyed, ranges, rows, _BLOCK)
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, tid, spans): for each text with repeated bytes, ranges [lo, hi) that cover them.
 
-    tid is xxhash64 of the text; a null id is the least 64-bit number. Spans may touch and overlap.
-    """
-    keyed, spark = _keyed(docs, id_col, text_col), docs.sparkSession
-    every = materialize(anchors(keyed))
-    # written first: a join of two plain shuffles lets Spark split the partition of a gram that very many windows have
-    twice = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    runs = materialize(every.join(twice, "gram").drop("gram"))
-    release(spark, every)
-    found = _resolved(runs.withColumnsRenamed({"s0": "lo"}).withColumn("hi", F.col("s1") + 1).drop("s1"), ["left", "right"])
-    release(spark, runs)
-    whole = _whole(found)
-    middle = F.col("anchor") - LEFT + 1
-    open_ = lambda side, lo, hi: F.when(F.col(f"by_{side}"), F.struct(lo.alias("lo"), hi.alias("hi"), "anchor"))
-    ranges = found.where("open").select("doc_id", "tid", F.explode(F.array_compact(F.array(open_("left", F.col("lo"), F.least("hi", middle)), open_("right", F.greatest("lo", middle), F.col("hi"))))).alias("r"))
-    blocks = materialize(_per_range(keyed, ranges.where("r.lo < r.hi"), _block_rows, ("first", "last", "core", "anchor")))
-    split = _resolved(blocks, ["core"])
-    release(spark, blocks)
-    left = split.where("open and by_core").select("doc_id", "tid", F.struct("lo", "hi", "anchor").alias("r"))
-    windows = _per_range(keyed, left, _window_rows, ("lead", "h1", "h2"))
-    starts = repeated(windows.withColumnRenamed("lo", "pos"), ["lead", "h1", "h2"], ["doc_id", "tid", "pos"])
-    single = starts.select("doc_id", "tid", F.struct(F.col("pos").alias("lo"), (F.col("pos") + LENGTH).alias("hi")).alias("span"))
-    return whole.unionByName(_whole(split)).unionByName(single).groupBy("doc_id", "tid").agg(F.collect_set("span").alias("spans"))
+def _suffixes(keyed: DataFrame, ranges: DataFrame, shape: Shape) -> DataFrame:
+    """The suffixes, each cut at the end of what it stands for, of `ranges` (r: kind, lo, hi)."""
 
+    def rows(raw, kind, lo, hi):
+        for i in range(0, len(lo), 2048):
+            a, b = lo[i : i + 2048], hi[i : i + 2048]
+            shown = [raw[x:y].tobytes() for x, y in zip(a.tolist(), (b - 1 + shape.length).tolist(), strict=True)]
+            yield kind[i : i + 2048], pa.array(shown, pa.binary()), a, b
 
-def _whole(found: DataFrame) -> DataFrame:
-    return found.where("n > 1").select("doc_id", "tid", F.struct("lo", (F.col("hi") - 1 + LENGTH).alias("hi")).alias("span"))
+    return _by_text(keyed, ranges, rows, _SUFFIX)
 
 
-def _resolved(runs: DataFrame, cores: list[str]) -> DataFrame:
-    """The runs of windows that can be repeated: n, how often their bytes occur as a run; by_<core>, whether other bytes have that core.
+def _resolved(runs: DataFrame, cores: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """The runs of windows that can be repeated: their `digest`, `whole` (another run has it), by_<core> (another segment has that core).
 
-    `open`: the run stands for its bytes wherever single windows are still to be compared (one of n equal ones does).
+    `open`: the run stands for its bytes wherever parts of it are still to be compared (one of several equal ones does, or more).
     """
-    segment, place = ["first", "last", "length"], F.struct("doc_id", "tid", "lo")
+    segment = ["first", "last", "length"]
     runs = runs.withColumn("length", F.col("hi") - F.col("lo"))
+    place = F.xxhash64("doc_id", "tid", "lo")
     segments = materialize(runs.groupBy(*segment).agg(F.count("*").alias("n"), F.min(place).alias("one"), *[F.min(c).alias(c) for c in cores]))
     judged = segments
     for c in cores:
-        shared = segments.where(f"`{c}` <> 0").groupBy(c).agg(F.count("*").alias("m")).where("m > 1").select(c, F.lit(True).alias(f"by_{c}"))
-        judged = judged.join(shared, c, "left")
+        shared = apart(segments.where(f"`{c}` <> 0").groupBy(c).agg(F.count("*").alias("m")).where("m > 1"), c)
+        judged = judged.join(shared.select(c, F.lit(True).alias(f"by_{c}")), c, "left")
     flags = [f"by_{c}" for c in cores]
     judged = judged.where(" or ".join(["n > 1", *flags])).select(*segment, "n", "one", *flags)
-    found = materialize(runs.drop(*cores).join(judged, segment).withColumn("open", (F.col("n") == 1) | (place == F.col("one"))).drop("one", *segment))
+    joined = runs.drop(*[c for c in cores if c not in kept]).join(judged, segment)
+    marks = {"digest": F.xxhash64(*segment), "whole": F.col("n") > 1, "open": (F.col("n") == 1) | (place == F.col("one"))}
+    found = materialize(joined.withColumns(marks).drop("n", "one", *segment))
     release(runs.sparkSession, segments)
     return found
 
 
+#: Segments that follow each other and are whole form a chunk, which ends after a digest divisible by CHUNK_SEGMENTS or CHUNK_WINDOWS on.
+CHUNK_SEGMENTS, CHUNK_WINDOWS = 8, 1 << 14
+
+
+def _chunked(found: DataFrame) -> DataFrame:
+    """Ranges (doc_id, tid, r: kind, lo, hi) that stand for all whole segments of `found`: chunks that occur twice or more as such, or segments.
+
+    One chunk of several equal ones also goes as segments, so a segment meets its equals in whatever chunks they are.
+    """
+    order = W.partitionBy("doc_id", "tid").orderBy("lo")
+    rows = found.where("whole").select("doc_id", "tid", "lo", "hi", "digest", *[F.lag(c).over(order).alias(f"last_{c}") for c in ("lo", "hi", "digest")])
+    once = rows.where("last_lo is null or last_lo <> lo")
+    starts = F.expr(f"last_lo is null or last_hi <> lo or last_digest % {CHUNK_SEGMENTS} = 0 or last_lo div {CHUNK_WINDOWS} <> lo div {CHUNK_WINDOWS}")
+    numbered = once.withColumn("chunk", F.sum(starts.cast("int")).over(order))
+    held = numbered.groupBy("doc_id", "tid", "chunk").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "digest"))).alias("s"))
+    digest, place = F.xxhash64(F.transform("s", lambda x: x["digest"])), F.xxhash64("doc_id", "tid", "lo")
+    chunks = materialize(held.select("doc_id", "tid", F.get("s", F.lit(0))["lo"].alias("lo"), F.element_at("s", -1)["hi"].alias("hi"), digest.alias("digest"), F.transform("s", lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("s")))
+    equal = apart(chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("one")).where("n > 1").drop("n"), "digest")
+    joined = chunks.join(equal, "digest", "left")
+    parts = F.transform("s", lambda x: F.struct(F.lit(SEGMENT).alias("kind"), x["lo"].alias("lo"), x["hi"].alias("hi")))
+    whole = F.array(F.struct(F.lit(CHUNK).alias("kind"), F.col("lo"), F.col("hi")))
+    asked = F.when(F.col("one").isNull(), parts).when(F.col("one") == place, F.concat(whole, parts)).otherwise(whole)
+    return joined.select("doc_id", "tid", F.explode(asked).alias("r"))
+
+
+_NO_ID = -(1 << 63)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"))
+
+
+def _split_ranges(split: DataFrame) -> DataFrame:
+    """Ranges (doc_id, tid, r: kind, lo, hi) that stand for the blocks of `split`: the whole ones, and of the open ones windows that others may equal.
+
+    Equal windows lie in blocks of one core, so a window that no other block of its core has (by 32 bits of its digest) leaves.
+    """
+    whole = split.where("whole").select("doc_id", "tid", F.struct(F.lit(BLOCK_OF).alias("kind"), "lo", "hi").alias("r"))
+    windows = split.where("open and by_core").select("doc_id", "tid", "lo", "core", F.posexplode("windows").alias("i", "window"))
+    twice = apart(windows.groupBy("core", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "core", "window")
+    lo = F.col("lo") + F.col("i")
+    lone = windows.join(twice, ["core", "window"]).select("doc_id", "tid", F.struct(F.lit(LONE).alias("kind"), lo.alias("lo"), (lo + 1).alias("hi")).alias("r"))
+    return whole.unionByName(lone)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (doc_id, tid, spans): for each text with repeated bytes, ranges [lo, hi) that cover them.
+
+    tid is xxhash64 of the text; a null id is the least 64-bit number. Spans may touch and overlap.
+    """
+    keyed, spark, shape = _keyed(docs, id_col, text_col), docs.sparkSession, Shape(length)
+    every = materialize(anchors(keyed, shape))
+    twice = apart(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "gram")
+    runs = materialize(every.join(twice, "gram").drop("gram"))
+    release(spark, every)
+    found = _resolved(runs.withColumnsRenamed({"s0": "lo"}).withColumn("hi", F.col("s1") + 1).drop("s1"), ["left", "right"])
+    release(spark, runs)
+    middle = F.col("anchor") - shape.left + 1
+    side = lambda name, lo, hi: F.when(F.col("open") & F.col(f"by_{name}") & (lo < hi), F.struct(lo.alias("lo"), hi.alias("hi"), "anchor"))
+    sides = F.array(side("left", F.col("lo"), F.least("hi", middle)), side("right", F.greatest("lo", middle), F.col("hi")))
+    blocks = materialize(_blocks(keyed, found.select("doc_id", "tid", F.explode(F.array_compact(sides)).alias("r")), shape))
+    split = _resolved(blocks, ["core"], ("core", "windows"))
+    release(spark, blocks)
+    ranges = materialize(_chunked(found).unionByName(_split_ranges(split)))
+    release(spark, found, split)
+    suffixes = materialize(_suffixes(keyed, ranges, shape))
+    release(spark, ranges)
+    n_bytes = suffixes.agg(F.sum(F.octet_length("suffix"))).first()[0] or 0
+    equal = equal_suffixes(suffixes, ["doc_id", "tid", "lo", "hi"], int(n_bytes))
+    release(spark, suffixes)
+    return equal.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", (F.col("hi") - 1 + length).alias("hi"))).alias("spans"))
+
+
 def _removed(n: int, spans: pa.ListScalar) -> np.ndarray:
     change = np.zeros(n + 1, np.int32)
     lo, hi = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
@@ -261,14 +311,14 @@ def _joined(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> tu
     return keyed.join(found, [key, tid], "left").select(*[F.col(f"`{c}`") for c in docs.columns], name), name
 
 
-def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each row of `docs`.
 
     Null and empty texts have no bytes. Texts are judged on the input: overlapping repeats count, so do repeats within
     one text, and all rows of a group of copies lose what they share. Rows alike in id and text repeat each other.
     An empty table gives an empty table.
     """
-    joined, name = _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), repeated_spans(docs, id_col, text_col), "doc_id", "text")
+    joined, name = _joined(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), repeated_spans(docs, id_col, text_col, length), "doc_id", "text")
 
     def run(batches):
         for batch in slices(batches):
@@ -285,12 +335,12 @@ def summarize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated bytes cut out of the text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """`docs` with the bytes of strings of `length` bytes that start twice or more cut out of the text.
 
     A cut inside a character also takes that character. Rows without repeats stay as they are, null texts too.
     """
-    joined, name = _joined(docs, repeated_spans(docs, id_col, text_col), id_col, text_col)
+    joined, name = _joined(docs, repeated_spans(docs, id_col, text_col, length), id_col, text_col)
     places = [joined.columns.index(text_col), joined.columns.index(name)]
 
     def run(batches):
