@@ -182,75 +182,3 @@ def equal_suffixes(suffixes: DataFrame, place: list[str], n_bytes: int) -> DataF
     reports = marked.where("kind = 3").groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1")
     waiting = marked.where("kind = 2").join(reports, key)
     return marked.where("kind = 1").select(*place).unionByName(waiting.select(*place))
-
-
-def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
-    """Order of the rows by their tuple of keys, as multikey quicksort finds it: each key orders only the rows that all keys before it left tied."""
-    order = np.argsort(columns[0], kind="stable")
-    tied = np.arange(len(order))
-    group = np.cumsum(np.r_[False, columns[0][order][1:] != columns[0][order][:-1]])
-    for key in columns[1:]:
-        sizes = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        keep = sizes[group] > 1
-        tied, group = tied[keep], group[keep]
-        if not len(tied):
-            break
-        values = key[order[tied]]
-        inner = np.lexsort((values, group))
-        order[tied] = order[tied][inner]
-        values, group = values[inner], group[inner]
-        group = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (values[1:] != values[:-1])])
-    return order
-
-
-def _runs(keys: list[np.ndarray]) -> np.ndarray:
-    n = len(keys[0])
-    change = np.zeros(n, bool)
-    if n:
-        change[0] = True
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(change)
-
-
-def repeated(table: DataFrame, keys: list[str], place: list[str], smaller: str | None = None) -> DataFrame:
-    """Rows `place` of `table` whose `keys` another row also has; with `smaller`, of which another row has a lower value of that column.
-
-    All columns are 64-bit numbers without nulls. Splitters sampled from the rows deal (keys, place) into ranges, so
-    even one key that most rows have spreads over many buckets. A bucket sorts its rows and decides every key that
-    lies within it; only its first and its last key may go on in a neighbour. For these it reports what it holds
-    (two rows a bucket) and which rows wait for the neighbours' reports. Rows alike in all columns are two rows.
-    An empty table gives an empty table.
-    """
-    table = materialize(table.select(*keys, *place))
-    dealt = table.repartitionByRange(least_count(table.count(), BUCKET_ROWS, table.sparkSession), *keys, *([smaller] if smaller else []), *[p for p in place if p != smaller])
-    names = [*keys, *place]
-    schema = pa.schema([("kind", pa.int32()), *[(n, pa.int64()) for n in names], ("n", pa.int64())])
-
-    def run(batches):
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        whole = pa.Table.from_batches(found)
-        rows = {n: whole.column(n).to_numpy() for n in names}
-        ids = [smaller] if smaller else []
-        order = multikey_order([rows[n] for n in [*keys, *ids]])
-        rows = {n: v[order] for n, v in rows.items()}
-        starts = _runs([rows[k] for k in keys])
-        sizes = np.diff(np.r_[starts, len(order)])
-        run_of = np.repeat(np.arange(len(starts)), sizes)
-        least = rows[smaller][starts] if smaller else sizes
-        yes = rows[smaller] > least[run_of] if smaller else sizes[run_of] > 1
-        edge = (run_of == 0) if smaller else (run_of == 0) | (run_of == len(starts) - 1)
-        ends = starts[sorted({0, len(starts) - 1})]
-        for kind, at in ((1, np.flatnonzero(yes)), (2, np.flatnonzero(edge & ~yes)), (3, ends)):
-            for i in range(0, len(at), 100_000):
-                part = at[i : i + 100_000]
-                yield record_batch(schema, np.full(len(part), kind, np.int32), *[rows[n][part] for n in names], least[run_of[part]])
-
-    spec = "kind int, " + ", ".join(f"`{n}` long" for n in names) + ", n long"
-    marked = materialize(dealt.mapInArrow(run, spec))
-    total = F.min("n") if smaller else F.sum("n")
-    reports = marked.where("kind = 3").groupBy(*keys).agg(total.alias("total"))
-    waiting = marked.where("kind = 2").join(reports, keys).where(f"`{smaller}` > total" if smaller else "total > 1")
-    return marked.where("kind = 1").select(*place).unionByName(waiting.select(*place))

@@ -48,6 +48,41 @@ def test_summarize_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=order) == sorted(brute(rows), key=order)
 
 
+def test_words_that_weak_digests_mix_up(spark):
+    """Thue-Morse words and their complements: equal under polynomial digests modulo 2^64."""
+    bits = "".join(str(bin(i).count("1") % 2) for i in range(1024))
+    a, b = (bits.translate(str.maketrans("01", x)) for x in ("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(49))
+    runs = [" ".join(x if c == "0" else y for c in bits) for x, y in (("p", "q"), ("q", "p"))]
+    rows = [(1, f"{a} {shared}"), (2, f"{b} {shared}"), (3, f"{shared} {a}"), (4, f"{shared} {b}"), (5, runs[0]), (6, runs[1]), (7, runs[0])]
+    got = S.summarize(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_many_rows_long_texts_and_shared_edges(spark, monkeypatch):
+    """More than 256 rows and 256 KB, texts of several stretches, and passages met at every alignment with edits inside."""
+    r = random.Random(9)
+    text = lambda n: " ".join(str(r.randint(0, 999_999)) for _ in range(n))
+    passage = text(160).split()
+    texts = [text(r.randint(0, 60)) for _ in range(400)] + [text(70_000)]
+    for i in range(40):
+        words = passage[r.randint(0, 60) : 160 - r.randint(0, 60)]
+        if i % 3 == 0:
+            words[r.randint(0, len(words) - 1)] = "edit"
+        texts.append(f"{text(i)} {' '.join(words)} {text(r.randint(0, 40))}")
+    texts.append(" ".join(texts[400].split()[65_500:65_600]) + " " + text(5))
+    rows = list(enumerate(texts))
+    got = S.summarize(spark.createDataFrame(rows, SCHEMA).coalesce(2)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_texts_split_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 100)
+    text = " ".join(f"w{i}" for i in range(500))
+    assert len(S.word_digests(f" {text}\n".encode())) == 500
+    assert (S.word_digests(text.encode()) == S.word_digests(text.replace(" ", " \t ").encode())).all()
+
+
 def test_remove_repeats_keeps_columns(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, passage, "a"), (2, "x  " + passage + " y", "b"), (3, None, "c")]
