@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, fresh, materialize, slices, texts_of
+from .common import ASCII_LOWER, apart, fresh, materialize, slices, texts_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -18,6 +18,8 @@ SEED = 42
 MAX_DISTANCE = 2
 #: 16-bit blocks; two fingerprints that differ in at most two bits agree in two of the four.
 BLOCKS, BLOCK_BITS = 4, 16
+#: Members of a block that are joined with each other, at most.
+JOINED = 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -55,19 +57,30 @@ def _block_key(pair: tuple[int, int]):
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints `fp` within MAX_DISTANCE bits, directly or by a path.
 
-    Pigeonhole: a close pair agrees in two of four blocks, so only fingerprints that share a block pair with another
-    are candidates (counts per block, joined back). Candidates then meet at midpoints: each offers itself and its 64
-    one-bit neighbours, and two of them share an offer exactly if they differ in at most two bits. An offer has at most
-    65 takers, so the verified pairs are read off bounded groups, never off all pairs of a block.
+    Pigeonhole: a close pair agrees in two of four blocks, so fingerprints join on pairs of blocks, and the Hamming
+    distance of each pair that meets is verified. The join is over blocks of at most JOINED members. Larger blocks are
+    refined instead (`_refined`), so no block's pairs are all formed.
     """
     keyed = distinct.select("fp", F.explode(F.array(*[_block_key(p) for p in combinations(range(BLOCKS), 2)])).alias("block"))
-    shared = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    candidates = keyed.join(shared, "block").select("fp").distinct()
+    sizes = apart(keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"), "block")
+    members = materialize(keyed.join(sizes, "block"))
+    few = members.where(F.col("n") <= JOINED)
+    pairs = few.select("block", F.col("fp").alias("a")).join(few.select("block", F.col("fp").alias("b")), "block").where("a < b").select("a", "b")
+    joined = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+    return joined.unionByName(_refined(members.where(F.col("n") > JOINED).select("fp").distinct())).distinct()
+
+
+def _refined(candidates: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect exactly the `candidates` within MAX_DISTANCE bits: those of blocks with very many members.
+
+    They meet at midpoints: each offers itself and its 64 one-bit neighbours, and two of them share an offer exactly if
+    they differ in at most two bits. An offer has at most 65 takers, so the verified pairs are read off bounded groups.
+    """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     offers = candidates.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("offer"))
     takers = offers.groupBy("offer").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     pairs = takers.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -261,7 +274,7 @@ def _roots(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     labelled = members.join(shared.where("n > 2").select("key"), "key").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     labelled = materialize(labelled)
     several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    several = materialize(several.select("key", F.ceil(F.col("n") / CELL_MEMBERS).cast("int").alias("parts")))
+    several = apart(several.select("key", F.ceil(F.col("n") / CELL_MEMBERS).cast("int").alias("parts")), "key")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = labelled.join(several, "key").select("key", "node", "label", mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     placed = dealt.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "label").join(nodes.select("node", "n", "sketch"), "node")

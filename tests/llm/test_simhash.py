@@ -51,7 +51,10 @@ def test_classes_equal_brute_force(spark):
     assert sorted(got, key=key) == sorted(classes(rows), key=key)
 
 
-def test_links_are_exactly_those_within_two_bits(spark):
+@pytest.mark.parametrize("joined", [S.JOINED, 3, 0])
+def test_links_are_exactly_those_within_two_bits(spark, monkeypatch, joined):
+    """Whether blocks are joined or, having too many members, refined."""
+    monkeypatch.setattr(S, "JOINED", joined)
     r = random.Random(9)
     prints = set()
     for _ in range(12):
