@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 OPENERS = "<["
 LEARNT_ROLE, KEPT_ROLE = "assistant", "system"
-BUDGET, HISTORY = 2048, 512
+BUDGET, HISTORY = 512, 128
 
 _ESCAPED = re.compile(r"[<\[\\]\\")
 

@@ -55,3 +55,54 @@ def test_digests_nulls_ties_and_empty(spark):
     assert (got[2].n_turns, got[2].turns_sha256, got[2].loss_sha256) == (4, sha("user\nfirst\n\nq\n" + "assistant\né<\n" * 2), sha("é<é<"))
     assert (got[None].turns_sha256, got[None].loss_chars) == (sha(f"user\n{said}\n"), 0)
     assert C.read_back(C.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def plain_windows(turns, budget, history):
+    """Windows of (shown turns, how many are repeated), from the whole list of turns at once."""
+    sizes = [C.count_words(C.render(*t)[0]) for t in turns]
+    system = 1 if turns[0][0] == "system" else 0
+    out, at = [], 0
+    while at < len(turns):
+        keep = sizes[0] if out and system else 0
+        past = []
+        if out:
+            for i in reversed(range(system, at)):
+                if sum(sizes[j] for j in past) + sizes[i] > history:
+                    break
+                past.insert(0, i)
+        while past and keep + sum(sizes[j] for j in past) + sizes[at] > budget:
+            past.pop(0)
+        end = at + 1
+        while end < len(turns) and keep + sum(sizes[j] for j in past) + sum(sizes[at : end + 1]) <= budget:
+            end += 1
+        before = ([0] if out and system else []) + past
+        out.append(([turns[i] for i in [*before, *range(at, end)]], len(before)))
+        at = end
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.integers(0, 30)), min_size=1, max_size=30), st.integers(1, 60), st.integers(0, 40))
+def test_windows_equal_a_plain_version(turns, budget, history):
+    turns = [(r, f"t{i} " + "w " * n) for i, (r, n) in enumerate(turns)]
+    w = C.Windows(budget, history, C.count_words)
+    rows = [row for r, t in turns for row in w.add(r, t)] + [w.close()]
+    assert [(C.parse(x["text"]), x["n_repeated"]) for x in rows] == plain_windows(turns, budget, history)
+
+
+def test_query_equals_a_plain_version_and_splits_conversations(spark):
+    got = {r.conv_id: r for r in C.op2_chat(spark, "/root/testdata/sf0.01").collect()}
+    turns = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    said = "</s>[INST] ok [/INST]"
+    turns[-7] = [(0, "user", said), (1, "assistant", said)]
+    assert got.keys() == turns.keys()
+    for i, rows in turns.items():
+        rows.sort()
+        learnt = "".join(t for _, r, t in rows if r == "assistant")
+        whole = "".join(f"{r}\n{t}\n" for _, r, t in rows)
+        want = (len(rows), hashlib.sha256(whole.encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == want
+        shown = plain_windows([x[1:] for x in rows], C.BUDGET, C.HISTORY)
+        assert got[i].formatted_chars == sum(len(C.render(*t)[0]) for w, _ in shown for t in w)
+    assert sum(r.n_windows > 1 for r in got.values()) > 0.2 * len(got)
