@@ -6,14 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_count, materialize, words_of
+from .common import materialize, words_of
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: What opening a bin costs beside its length (a sequence's share of fixed work), in tokens.
 BIN_COST = 32
 #: Pieces that one packer sees on average, at most.
-PACK_PIECES = 50_000
+PACK_PIECES = 20_000
 
 
 def opening_size(need: int, waiting, capacities: tuple[int, ...] = CAPACITIES, bin_cost: int = BIN_COST) -> int:
@@ -87,15 +87,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Rows (doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_tokens, capacity): where each piece of each document goes.
 
     A document has a token for each word and one end token. It is cut into pieces of the largest length, from the
-    start; `start` is a piece's first token. Documents are dealt by a hash of id and text into packs of bounded size;
-    each pack sorts its pieces, largest first, and packs them on its own, so bins never span packs. Only sizes are
+    start; `start` is a piece's first token. Documents are dealt by a hash into packs of about PACK_PIECES pieces, as many as
+    the pieces call for; each pack sorts its pieces, largest first, and packs them on its own, so bins never span packs. Only sizes are
     shuffled. bin_id is unique over all packs. Null and empty texts are an end token alone. Null ids stay null; rows
-    alike share a pack and are packed each. An empty table gives an empty table.
+    alike are packed each. An empty table gives an empty table.
     """
     capacities, largest = tuple(sorted(capacities)), max(capacities)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("h"), (F.size(words_of(text)) + 1).cast("long").alias("tokens")))
-    n = least_count(int(sizes.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0), PACK_PIECES, docs.sparkSession)
+    digest = F.xxhash64(F.col(id_col), text)
+    # rows alike in id and text are numbered apart, so that they are dealt like any others; the numbers are written with the sizes
+    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("h"), F.monotonically_increasing_id().alias("row"), (F.size(words_of(text)) + 1).cast("long").alias("tokens")))
+    n = -(-int(sizes.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0) // PACK_PIECES) or 1
     names = ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_offset", "bin_tokens", "capacity"]
 
     def run(batches):
@@ -110,7 +112,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             out = [(d, k, s, size, pack_id + b, o, bins[b][1], bins[b][0]) for (size, _, d, k, s), (b, o) in zip(pieces[i : i + 20_000], spots[i : i + 20_000], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return sizes.repartition(n, "h").select("doc_id", "h", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return sizes.repartition(n, "h", "row").select("doc_id", "h", "tokens").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -62,3 +62,40 @@ def test_several_lengths_waste_less_than_one():
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_best_fit(sizes, capacities, cost):
+    """Bins as lists, searched one after the other."""
+    bins, spots = [], []
+    for k, s in enumerate(sizes):
+        fits = [b for b, (room, _, _) in enumerate(bins) if room >= s]
+        if fits:
+            tightest = min(bins[b][0] for b in fits)
+            b = max((b for b in fits if bins[b][0] == tightest), key=lambda b: bins[b][2])
+        else:
+            need = max(s, 1)
+            to_come = sizes[k + 1 :]
+            price = {c: (c + cost) / (need + min(c - need, sum(x for x in to_come if x <= c - need))) for c in capacities if c >= need}
+            bins.append([min(price, key=price.get), 0, 0])
+            b = len(bins) - 1
+        spots.append((b, bins[b][1]))
+        bins[b][0] -= s
+        bins[b][1] += s
+        bins[b][2] = k
+    return spots, [(min(c for c in capacities if c >= used), used) for _, used, _ in bins]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60), st.sampled_from([(64,), (16, 64), (8, 16, 32, 64)]), st.integers(0, 20))
+def test_best_fit_equals_a_plain_version(sizes, capacities, cost):
+    sizes = sorted(sizes, reverse=True)
+    got = P.best_fit(sizes, capacities, cost)
+    assert got == plain_best_fit(sizes, capacities, cost)
+    assert sum(length for length, _ in got[1]) >= sum(sizes)
+
+
+def test_equal_rows_spread_over_packs_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(P, "PACK_PIECES", 50)
+    rows = [(7, "a b c", i, "x", 1) for i in range(400)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, row long, h string, tokens int")).collect()
+    assert sum(g.n_tokens for g in got) == 1600 and len({g.bin_id >> 40 for g in got}) > 3
