@@ -74,7 +74,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document cut by the budget keeps its first words, joined by one space; rows without words go, as they take
     nothing. Rows alike in id, source and size are told apart only by order, so their takes are dealt among them by count.
     """
-    row, size, at, taken = (fresh(docs, c) for c in ("_id", "_size", "_at", "_taken"))
+    row, size, at, taken, now, part = (fresh(docs, c) for c in ("_id", "_size", "_at", "_taken", "_now", "_part"))
     # one key without nulls serves the numbering and the join, so texts are shuffled once
     key = lambda i, s: F.to_json(F.array(F.col(i).cast("string"), F.col(s).cast("string")))
     counted = docs.withColumn(row, key(id_col, source_col)).withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
@@ -83,9 +83,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = W.partitionBy(row, size).orderBy(F.col(text_col))
     joined = counted.where(F.col(size) > 0).withColumn(at, F.row_number().over(ids)).join(takes, [row, size])
     words = F.get(F.col(taken), F.col(at) - 1)
-    parts = F.expr(f"explode(transform(sequence(0, cast((`{at}n` - 1) div `{size}` as int)), k -> least(`{size}`, `{at}n` - k * `{size}`)))")
-    spread = joined.withColumn(f"{at}n", words).where(f"`{at}n` > 0").select(*[F.col(f"`{c}`") for c in docs.columns], size, parts.alias(f"{at}k"))
-    cut = F.when(F.col(f"{at}k") < F.col(size), F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col(f"{at}k").cast("int")), " ")).otherwise(F.col(text_col))
+    parts = F.expr(f"explode(transform(sequence(0, cast((`{now}` - 1) div `{size}` as int)), k -> least(`{size}`, `{now}` - k * `{size}`)))")
+    spread = joined.withColumn(now, words).where(f"`{now}` > 0").select(*[F.col(f"`{c}`") for c in docs.columns], size, parts.alias(part))
+    cut = F.when(F.col(part) < F.col(size), F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col(part).cast("int")), " ")).otherwise(F.col(text_col))
     return spread.withColumn(text_col, cut).select(*docs.columns)
 
 

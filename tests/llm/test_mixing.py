@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import mixing as M
 
@@ -76,3 +77,13 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert M.mix(empty).count() == 0 and M.mixed_documents(empty).count() == 0
     assert M.mix(spark.createDataFrame([(1, None, None, 0)], SCHEMA)).collect()[0].taken == 0
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    names = "_id _size _at _taken _now _part _atn _atk".split()
+    rows = [(i, "w " * (400_000 if i == 0 else 5), "a", *[77] * len(names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = M.mixed_documents(docs)
+    assert out.columns == docs.columns
+    for r in out.select("doc_id", F.size(F.split(F.trim("text"), " ")).alias("n"), *names).collect():
+        assert all(r[n] == 77 for n in names) and r.n <= (400_000 if r.doc_id == 0 else 5)
