@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, record_batch
+from .common import materialize, record_batch, union_all
 
 TABLES = 4
 #: Chance that one table's probes hold a neighbour at the target distance; the tables together miss (1 - CHANCE) ** TABLES.
 CHANCE = 0.7
+#: The same for queries whose probes hold fewer rows than asked for; those that still do meet all rows.
+WIDER = (0.9, 0.98)
 #: Width of a hash cell, in target distances.
 WIDTH = 1.8
 #: Hash functions of a table: so many that a cell holds about CELL_ROWS rows, if each cuts the rows as SPLIT, but no more than MOST_HASHES.
@@ -61,8 +63,8 @@ class Hashes:
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
-    def probes(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells to visit from `place` in order of the chance that a vector at the target distance lies there, and those chances.
+    def probes(self, place: np.ndarray, wanted: float = CHANCE) -> tuple[np.ndarray, np.ndarray]:
+        """Cells to visit from `place` in order of the chance that a vector at the target distance lies there, up to `wanted` in all, and those chances.
 
         A projected difference is normal with the target distance as its deviation, so a cell's chance is a product over
         the hashes. The best cells over the first hashes are extended hash by hash; none of the best is lost by that.
@@ -77,7 +79,7 @@ class Hashes:
             best = np.argsort(-grown, kind="stable")[:MOST_PROBES]
             found = grown[best]
             cells = np.column_stack([cells[best // len(shifts)], home[k] + shifts[best % len(shifts)]])
-        stop = int(np.searchsorted(np.cumsum(found), CHANCE)) + 1
+        stop = int(np.searchsorted(np.cumsum(found), wanted)) + 1
         return cells[:stop], found[:stop]
 
 
@@ -105,7 +107,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def _hashed(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
+def _hashed(rows: DataFrame, hashes: Hashes, probing: bool, wanted: float = CHANCE) -> DataFrame:
     """Rows (bucket, kind, vec_id, v): a row in each table's bucket, or a query in all buckets that it probes."""
     inner = dict(rows.dtypes)["v"]
 
@@ -115,7 +117,7 @@ def _hashed(rows: DataFrame, hashes: Hashes, probing: bool) -> DataFrame:
                 places = hashes.cells(_matrix(part.column(1)))
                 for table in range(TABLES):
                     if probing:
-                        cells = [hashes.probes(p)[0] for p in places[table]]
+                        cells = [hashes.probes(p, wanted)[0] for p in places[table]]
                         at, buckets = np.repeat(np.arange(len(cells)), [len(c) for c in cells]), hashes.keys(table, np.concatenate(cells))
                     else:
                         at, buckets = np.arange(part.num_rows), hashes.keys(table, np.floor(places[table]))
@@ -183,8 +185,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     Rows alike in all components tie, and ties go to the smaller id, so of equal vectors only the k + 1 smallest ids can
     ever be among anyone's nearest: only these are indexed, and equal queries search once. A bucket with many rows is
     split by a hash of the row. Its probing queries go to every part, each part gives the k + 1 nearest of each query,
-    and the parts' lists merge. Rows with null, zero or non-finite vectors or of an odd length take no part. If a
-    query's probes hold fewer rows than asked for, it gets all rows instead. Rows with equal ids are candidates each.
+    and the parts' lists merge. Rows with null, zero or non-finite vectors or of an odd length take no part. A query
+    whose probes hold fewer rows than asked for probes WIDER, step by step, and if that does not help it gets all rows.
+    Rows with equal ids are candidates each.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -194,15 +197,19 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     n_rows = index.count()
     target, dimensions = _target(index, n_rows)
     hashes = Hashes(dimensions, n_rows, target)
-    placed = _hashed(index, hashes, False)
-    probing = _hashed(asked.repartition(spark.sparkContext.defaultParallelism * 4, "vec_id"), hashes, True)
-    found = _nearest(placed, probing, k + 1)
-    held = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = asked.join(held, asked.vec_id == held.query_id, "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, n_rows)).select("vec_id", "v")
-    alone = F.lit(0).cast("long")
-    everything = lambda df, kind: df.select(alone.alias("bucket"), F.lit(kind).alias("kind"), "vec_id", "v")
-    rest = _nearest(everything(index, 0), everything(short, 1), k + 1) if short.limit(1).count() else found.where("false")
-    best = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    placed, short, lists = materialize(_hashed(index, hashes, False)), asked, []
+    for wanted in (CHANCE, *WIDER):
+        found = _nearest(placed, _hashed(short.repartition(spark.sparkContext.defaultParallelism * 4, "vec_id"), hashes, True, wanted), k + 1)
+        full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, n_rows)).select(F.col("query_id").alias("vec_id"))
+        lists.append(found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi"))
+        short = materialize(short.join(full, "vec_id", "left_anti"))
+        if short.isEmpty():
+            break
+    else:
+        alone = F.lit(0).cast("long")
+        everything = lambda df, kind: df.select(alone.alias("bucket"), F.lit(kind).alias("kind"), "vec_id", "v")
+        lists.append(_nearest(everything(index, 0), everything(short, 1), k + 1))
+    best = union_all(lists)
     asking = usable(vectors.where(is_query), id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v").distinct()
     lists = best.withColumnRenamed("query_id", "rep").join(asked.select(F.col("vec_id").alias("rep"), "v"), "rep").groupBy("rep", "v").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     own = asking.join(lists, "v").select("query_id", F.explode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("x"))
@@ -210,8 +217,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
 
 def _nearest(placed: DataFrame, probing: DataFrame, k: int) -> DataFrame:
-    spark = placed.sparkSession
-    placed, probing = materialize(placed), materialize(probing)
+    """The k nearest rows of `placed` for each query of `probing`, of those that share a bucket with it."""
+    spark, probing = placed.sparkSession, materialize(probing)
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("parts"))
     of_rows = placed.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "kind", "vec_id", "v")
     of_queries = probing.join(sizes, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "kind", "vec_id", "v")

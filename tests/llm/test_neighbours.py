@@ -60,3 +60,17 @@ def test_probes_come_in_order_of_chance():
     cells, chance = h.probes(place)
     assert (np.diff(chance) <= 1e-15).all() and chance.sum() >= N.CHANCE
     assert len({tuple(c) for c in cells}) == len(cells) and tuple(np.floor(place)) in {tuple(c) for c in cells}
+
+
+def test_wider_probes_and_clashing_names(spark, monkeypatch):
+    """Probes that find too little: some queries probe wider, and rows far from all others meet every row."""
+    monkeypatch.setattr(N, "CHANCE", 0.02)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1200, 16))
+    x[::100] *= 40
+    rows = [(i, [float(c) for c in v], "b", 1, 2, 3) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket string, n int, v int, query_id int")
+    got, want = found(N.search(df, F.col("vec_id") % 100 == 0)), brute([w[:3] for w in rows])
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    hits = sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 10 * len(want)
