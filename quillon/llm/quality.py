@@ -7,7 +7,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, fresh, let, materialize, words_of
+from .common import SPACE_CLASS, let, materialize, words_of
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
@@ -148,11 +148,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `judge` rejects; rows are matched by id and text digest, null ids included."""
-    row, sha = fresh(docs, "_row"), fresh(docs, "_sha")
-    keyed = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.length(text_col).alias("n")))
-    kept = judge(keyed, row, text_col).where("kept").select(F.col("doc_id").alias(sha)).distinct()
-    return keyed.join(kept, F.col(row).eqNullSafe(F.col(sha)), "left_semi").select(*docs.columns)
+    """`docs` without the rows that `judge` rejects. Rows are written once beside their counts, so nothing is shuffled or joined back."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return judge(whole, "row", "text").where("kept").select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
