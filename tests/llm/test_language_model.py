@@ -48,3 +48,41 @@ def test_probabilities_sum_to_one():
 
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_score_equals_a_plain_version_of_the_model(spark, monkeypatch):
+    """The same table of log-probabilities, read token by token."""
+    tables = []
+    train = L.train
+    monkeypatch.setattr(L, "train", lambda pairs, **kw: tables.append((pairs.copy(), train(pairs, **kw))) or tables[-1][1])
+    r = random.Random(8)
+    words = ["the", "of", "and", "É", *[f"w{i}" for i in range(30)]]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 40))), i) for i in range(80)] + [(500, "unseen the xyz " * 5000, 0)]
+    got = L.score(spark.createDataFrame(rows, SCHEMA).repartition(3), head_size=12, words=6).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train_texts = [tokens(x) for i, x, _ in rows if not held(i)]
+    c = Counter(t for x in train_texts for t in x)
+    top = sorted((t for t in c if t != b"\n"), key=lambda t: (-c[t], t))[:6]
+    symbol = {b"\n": 0} | {t: k + 1 for k, t in enumerate(top)}
+    of = lambda t: symbol.get(t, L.class_of(t, 6))
+    size = 1 + 6 + L.CLASSES
+    pairs = np.zeros((size, size))
+    for x in train_texts:
+        for a, b in zip([b"\n", *x], x, strict=False):
+            pairs[of(a), of(b)] += 1
+    assert (tables[0][0] == pairs).all()
+    table = tables[0][1]
+    total = Counter()
+    distinct = Counter()
+    for t in c:
+        if of(t) > 6:
+            total[of(t)] += c[t]
+            distinct[of(t)] += 1
+    for g in got:
+        x = tokens(next(text for i, text, _ in rows if i == g.doc_id))
+        want = 0.0
+        for a, b in zip([b"\n", *x], x, strict=False):
+            want += table[of(a), of(b)]
+            if of(b) > 6:
+                want += math.log10((c[b] + 0.5) / (total[of(b)] + 0.5 * (distinct[of(b)] + 1)))
+        assert math.isclose(g.score, want, rel_tol=1e-4, abs_tol=1e-3)
