@@ -154,8 +154,11 @@ def search(snapshot: Any, request: Any, probes: int, live: DataFrame | None = No
         for ids in (wanted, None if live is None else live.select(F.col("row_id").alias(ROW_ID))):
             found = found if ids is None else found.join(ids, ROW_ID, "left_semi")
         hits = rows.nearest(found, request.query, request.k, None)
-        if probes >= max([0, *(len(d.centres) for _, d in segments)]) or hits.count() >= request.k:
+        if probes >= max([0, *(len(d.centres) for _, d in segments)]):
             return hits
+        near = hits.collect()  # k rows at most
+        if len(near) >= request.k:
+            return snapshot.spark.createDataFrame(near, hits.schema)
         probes *= 4
 
 

@@ -67,8 +67,11 @@ def test_recall_filters_deletes_and_new_rows(cloud):
 def test_scans_read_only_probed_cells(cloud):
     ds, x = cloud
     ds.build_index(16)
-    plan = ds.snapshot().vector_search(VectorSearchRequest(tuple(map(float, x[0])), 3), probes=2)._jdf.queryExecution().executedPlan().toString()
-    assert "In(cell" in plan
+    stored = ds.spark.read.parquet(*[ds.backend.url(p) for s in ds.snapshot().manifest.segments for p in vector_index.describe(ds.backend, s).parts])
+    assert "PushedFilters: [In(cell, [2,5])]" in stored.where(stored.cell.isin([2, 5]))._jdf.queryExecution().executedPlan().toString()
+    near = vector_index.describe(ds.backend, ds.snapshot().manifest.segments[0]).near(tuple(map(float, x[0])), 2)
+    found = set(ids(ds.snapshot().vector_search(VectorSearchRequest(tuple(map(float, x[0])), 3), probes=2)))
+    assert found <= {r._row_id for r in stored.where(stored.cell.isin(near)).collect()}
 
 
 def test_broken_segments_are_found_and_orphans_go(cloud):
