@@ -208,6 +208,56 @@ def test_row_groups_and_arrow(spark, tmp_path):
         ingest.from_ipc(spark, sink.getvalue().to_pybytes())
 
 
+def test_row_groups_are_those_of_the_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(95).selectExpr("id", "id * 3 AS extra").repartitionByRange(3, "id").sortWithinPartitions("id")
+    n = rowgroups.write_row_groups(df, str(tmp_path / "g"), 10)
+    index = rowgroups.row_group_index(spark, str(tmp_path / "g"))
+    assert n == len(index) and sum(g.rows for g in index) == 95 and max(g.rows for g in index) == 10
+    for key in {g.key for g in index}:
+        meta = pq.ParquetFile(tmp_path / "g" / key).metadata
+        assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [g.rows for g in index if g.key == key]
+    for first, count in ((0, n), (1, 1), (2, n - 3), (n - 1, 1)):
+        before = sum(g.rows for g in index[:first])
+        got = sorted(r.id for r in rowgroups.read_row_groups(spark, str(tmp_path / "g"), first, count).collect())
+        assert got == list(range(before, before + sum(g.rows for g in index[first : first + count])))
+    plan = rowgroups.read_row_groups(spark, str(tmp_path / "g"), 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_group,1)" in plan
+
+
+def test_full_runs_of_files_are_shared_by_versions(spark, tmp_path, monkeypatch):
+    from quillon.sources import manifest as M
+
+    monkeypatch.setattr(M, "CHUNK_FILES", 3)
+    ds = make(spark, tmp_path, *ID)
+    sizes = []
+    for i in range(10):
+        commit(ds, (i,))
+        sizes.append(len(ds.backend.get(manifest_key(ds.version))))
+    assert len(ds.snapshot().manifest.chunks) == 3 and len(ds.backend.list(M.CHUNKS)) == 3
+    assert sizes[9] < sizes[1] + 400  # a manifest holds the files since the last full run, and keys
+    again = Dataset.open(spark, ds.backend.root)
+    assert again.snapshot().manifest == ds.snapshot().manifest and values(again.snapshot().scan(ScanRequest())) == [(i,) for i in range(10)]
+    del again
+    gc.collect()
+    assert ds.vacuum() == []
+    ds.compact()
+    ds.prune_manifests(1)
+    gc.collect()
+    before = set(ds.snapshot().manifest.chunks)
+    assert sum(k.startswith("_files/") for k in ds.vacuum()) == 3 and {m.key for m in ds.backend.list(M.CHUNKS)} == before
+    assert values(Dataset.open(spark, ds.backend.root).snapshot().scan(ScanRequest())) == [(i,) for i in range(10)]
+    for i in range(10, 14):
+        commit(ds, (i,))
+    chunk = ds.backend.list(M.CHUNKS)[0].key
+    ds.backend.put(chunk, b"[]")
+    with pytest.raises(E.CorruptManifest):
+        Dataset.open(spark, ds.backend.root)
+    with pytest.raises(E.MigrationUnsupportedDirection):
+        ds.check_migration(0)
+
+
 def test_streams_commit_by_batch(spark, tmp_path):
     ds = make(spark, tmp_path, *ID)
     for i in range(3):
