@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -17,8 +18,9 @@ from .common import ASCII_LOWER, materialize, record_batch, slices, texts_of
 END = "\n"
 #: Tokens that every task holds counts of (broadcast): the most frequent ones. All others meet their counts in a join.
 HEAD = 1 << 17
-#: Symbols of the neural model: the end, the most frequent words, and CLASSES for all other words by their last bytes.
-WORDS, CLASSES, LAST_BYTES = 767, 256, 3
+#: Symbols of the neural model: the end, the most frequent words (WORDS to MOST_WORDS, as many as the corpus calls for), and CLASSES
+#: for all other words by their last bytes. The table of all pairs is broadcast, so the number has a bound.
+WORDS, MOST_WORDS, CLASSES, LAST_BYTES = 767, 1791, 256, 3
 DIMENSIONS, NOISE, STEPS, RATE = 24, 10.0, 120, 0.05
 #: Weight of a Gaussian prior on the vectors' components, in pairs.
 PRIOR = 10.0
@@ -35,6 +37,12 @@ def class_of(token: bytes, words: int = WORDS) -> int:
     return 1 + words + zlib.crc32(token[-LAST_BYTES:]) % CLASSES
 
 
+def words_for(distinct: int) -> int:
+    """Words that the neural model tells apart, for a corpus of so many distinct tokens: four times their square root, as a power of two with the other symbols."""
+    symbols = 1 << max(0, math.ceil(math.log2(4 * math.sqrt(max(1, distinct)))))
+    return min(MOST_WORDS, max(WORDS, symbols - 1 - CLASSES))
+
+
 def train(pairs: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Log10 probability of each symbol after each symbol, from counts of pairs (previous, next).
 
@@ -63,9 +71,12 @@ def train(pairs: np.ndarray, steps: int = STEPS) -> np.ndarray:
             second[k] = 0.99 * second[k] + 0.01 * grad**2
             weights[k] -= RATE * (1 - t / (steps + 1)) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-6)
     c, r, b = (w.astype(np.float64) for w in weights)
-    s = c @ r.T + b
-    s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+    out = np.empty((size, size))
+    for i in range(0, size, 256):
+        s = c[i : i + 256] @ r.T + b
+        s -= s.max(1, keepdims=True)
+        out[i : i + 256] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
+    return out
 
 
 class Vocabulary:
@@ -152,12 +163,13 @@ def _most_frequent(counts: DataFrame, size: int) -> list[tuple[str, int]]:
     return sorted((tuple(r) for r in top.collect()), key=lambda r: (-r[1], r[0].encode()))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, words: int = WORDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD, words: int | None = None) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
     Counts and the model come from rows whose crc32(id as text) mod 5 is not 1 (null id: of an empty text), all of
     them. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))). score sums the model's log10 probability of each
-    token's symbol after the one before; a word outside the model's vocabulary is its class and then the word within
+    token's symbol after the one before; the symbols are the most frequent words, more of them the more distinct tokens
+    there are (`words_for`). A word outside the model's vocabulary is its class and then the word within
     it, by smoothed counts, so the probabilities of all words sum to one. Words beyond the HEAD tokens are joined with
     their counts; only these travel. Null and empty texts are an end alone. Repeated rows are scored each; they count
     each in training. An empty table gives an empty table.
@@ -169,6 +181,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_
     counts = materialize(token_counts(training))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0))).first()
     n, v, ends = (int(x) for x in totals)
+    words = words_for(v) if words is None else words
     head = _most_frequent(counts.where(F.col("token") != END), head_size)
     top = counts.where(F.col("token") != END)
     if len(head) > words:

@@ -46,6 +46,11 @@ def test_probabilities_sum_to_one():
     assert np.abs(10**p - want).mean() < 0.01
 
 
+def test_the_vocabulary_grows_with_the_corpus():
+    sizes = [L.words_for(10**k) for k in range(9)]
+    assert sizes == sorted(sizes) and sizes[0] == L.WORDS and sizes[-1] == L.MOST_WORDS and L.words_for(100_000) > L.words_for(10_000)
+
+
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
