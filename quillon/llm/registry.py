@@ -1,6 +1,6 @@
 """Queries of this subpackage, by the name under which they are registered, and their DuckDB SQL."""
 
-from . import chat, language_model, mixing, neighbours, packing, quality, simhash, substring, suffixes, urls
+from . import chat, columns, language_model, mixing, neighbours, packing, quality, simhash, substring, suffixes, urls
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -13,5 +13,5 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_neighbours": neighbours.op10_neighbours,
-}
-ORACLE_SQL = {"op1_substring": substring.OP1_SQL, "op8_mixing": mixing.OP8_SQL}
+} | columns.QUERIES
+ORACLE_SQL = {"op1_substring": substring.OP1_SQL, "op3_suffix_array": suffixes.OP3_SQL, "op8_mixing": mixing.OP8_SQL} | columns.ORACLE_SQL
