@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST_EPOCHS = 1.5, 2
 #: Rows that one range of hash keys holds on average, at most.
 RANGE_ROWS = 4096
+#: Rows alike in id, source and size that are numbered together, about; entries of more that are broadcast, at most.
+PART_ROWS, MOST_BROADCAST = 4096, 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MOST_EPOCHS) -> DataFrame:
@@ -46,8 +48,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return mix_by_source(docs, id_col, text_col, source_col, weights, share, cap).drop("source")
 
 
-def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MOST_EPOCHS) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken): `mix` with each row's source."""
+def _entries(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """Rows (doc_id, source, size, n, source_size, target, epochs, rest): rows alike in these are one entry of n.
+
+    Of the words that the last epoch takes, `rest` is what is left at the entry's first row (below zero: nothing), so the
+    k-th row takes epochs * size and, of rest - k * size, what lies between zero and size.
+    """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
     sizes = materialize(rows)
@@ -60,31 +66,57 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     summed = ranged.groupBy("rank", "range").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     starts = summed.select("rank", "range", F.coalesce(F.sum("words").over(W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     placed = ranged.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(within), F.lit(0))).join(starts, ["rank", "range"])
-    copies = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
-    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("before") - F.col("copy") * F.col("size")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return copies.withColumn("epochs", epochs).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rest = F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("before")
+    return placed.withColumn("epochs", epochs).select("doc_id", "source", "size", "n", "source_size", "target", "epochs", rest.alias("rest"))
+
+
+def _taken(size: str, copy: str) -> Column:
+    """Words that row number `copy` of an entry takes."""
+    left = F.col("rest") - F.col(copy) * F.col(size)
+    return (F.col("epochs") * F.col(size) + F.greatest(F.lit(0).cast("long"), F.least(F.col(size), left))).cast("long")
+
+
+def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = MOST_EPOCHS) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken): `mix` with each row's source."""
+    entries = _entries(docs, id_col, text_col, source_col, weights, share, cap)
+    # in two steps, so that no array grows with an entry of very many rows
+    parts = entries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PART_ROWS}"))))
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * PART_ROWS, F.least(F.col("n"), (F.col("part") + 1) * PART_ROWS) - 1)))
+    return copies.select("doc_id", "source", "size", "source_size", "target", _taken("size", "copy").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """`docs` as the mix takes them: a row for each epoch, none where nothing is taken.
 
     A document cut by the budget keeps its first words, joined by one space; rows without words go, as they take
-    nothing. Rows alike in id, source and size are told apart only by order, so their takes are dealt among them by count.
+    nothing. Rows alike in id, source and size are told apart only by order, so their takes are dealt among them by count:
+    they are numbered by text, and where very many are alike (null ids), first within parts by a hash of the text.
     """
-    row, size, at, taken, now, part = (fresh(docs, c) for c in ("_id", "_size", "_at", "_taken", "_now", "_part"))
+    row, size, at, now, part = (fresh(docs, c) for c in ("_id", "_size", "_at", "_now", "_part"))
     # one key without nulls serves the numbering and the join, so texts are shuffled once
     key = lambda i, s: F.to_json(F.array(F.col(i).cast("string"), F.col(s).cast("string")))
-    counted = docs.withColumn(row, key(id_col, source_col)).withColumn(size, F.size(words_of(F.col(text_col))).cast("long"))
-    found = mix_by_source(docs, id_col, text_col, source_col).where("taken > 0")
-    takes = found.groupBy(key("doc_id", "source").alias(row), F.col("size").alias(size)).agg(F.array_sort(F.collect_list("taken")).alias(taken))
-    ids = W.partitionBy(row, size).orderBy(F.col(text_col))
-    joined = counted.where(F.col(size) > 0).withColumn(at, F.row_number().over(ids)).join(takes, [row, size])
-    words = F.get(F.col(taken), F.col(at) - 1)
+    counted = docs.withColumn(row, key(id_col, source_col)).withColumn(size, F.size(words_of(F.col(text_col))).cast("long")).where(F.col(size) > 0)
+    takes = materialize(_entries(docs, id_col, text_col, source_col, WEIGHTS, SHARE, MOST_EPOCHS).where("size > 0").select(key("doc_id", "source").alias(row), F.col("size").alias(size), "n", "epochs", "rest"))
+    common = takes.where(F.col("n") > PART_ROWS).select(row, size, F.ceil(F.col("n") / PART_ROWS).cast("int").alias(part))
+    by_text = lambda *columns: F.row_number().over(W.partitionBy(*columns).orderBy(F.col(text_col))) - 1
+    n_common = common.count()
+    if n_common:
+        common = F.broadcast(common) if n_common <= MOST_BROADCAST else common
+        many = counted.join(common, [row, size]).withColumn(part, F.pmod(F.xxhash64(text_col), F.col(part)))
+        sizes = many.groupBy(row, size, part).agg(F.count("*").alias("n"))
+        before = sizes.select(row, size, part, F.coalesce(F.sum("n").over(W.partitionBy(row, size).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(now))
+        many = many.withColumn(at, by_text(row, size, part)).join(before, [row, size, part]).withColumn(at, F.col(at) + F.col(now)).drop(part, now)
+        numbered = counted.join(common, [row, size], "left_anti").withColumn(at, by_text(row, size)).unionByName(many)
+    else:
+        numbered = counted.withColumn(at, by_text(row, size))
+    held = [fresh(numbered, c) for c in ("epochs", "rest")]
+    takes = takes.select(row, size, *[F.col(c).alias(h) for c, h in zip(("epochs", "rest"), held, strict=True)])
+    left = F.col(held[1]) - F.col(at) * F.col(size)
+    words = F.col(held[0]) * F.col(size) + F.greatest(F.lit(0).cast("long"), F.least(F.col(size), left))
+    joined = numbered.join(takes, [row, size]).withColumn(now, words.cast("long")).where(F.col(now) > 0)
     parts = F.expr(f"explode(transform(sequence(0, cast((`{now}` - 1) div `{size}` as int)), k -> least(`{size}`, `{now}` - k * `{size}`)))")
-    spread = joined.withColumn(now, words).where(f"`{now}` > 0").select(*[F.col(f"`{c}`") for c in docs.columns], size, parts.alias(part))
+    spread = joined.select(*[F.col(f"`{c}`") for c in docs.columns], size, parts.alias(part))
     cut = F.when(F.col(part) < F.col(size), F.array_join(F.slice(words_of(F.col(text_col)), 1, F.col(part).cast("int")), " ")).otherwise(F.col(text_col))
     return spread.withColumn(text_col, cut).select(*docs.columns)
 

@@ -42,6 +42,7 @@ def brute(rows):
 @pytest.mark.parametrize("per_range", [4096, 3])
 def test_mix_equals_brute_force(spark, monkeypatch, per_range):
     monkeypatch.setattr(M, "RANGE_ROWS", per_range)
+    monkeypatch.setattr(M, "PART_ROWS", per_range)
     rows = [(i, " ".join(["w"] * (i * 7 % 23)), ("big", "é", "a", "Z", None)[min(4, i % 9)], i) for i in range(200)]
     rows += [(None, "x y z", "a", 0), (None, "x y z", "a", 1), (5, "x y", "big", 0), (5, "x y", "big", 0), (900, None, "empty", 0), (901, "", "empty", 0)]
     got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in M.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
@@ -64,7 +65,9 @@ def test_documents_follow_the_mix(spark):
     assert words == {k: v for k, v in want.items() if v}
 
 
-def test_takes_stay_with_their_source(spark):
+@pytest.mark.parametrize("part", [M.PART_ROWS, 3])
+def test_takes_stay_with_their_source(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "PART_ROWS", part)
     rows = [(None, f"{s}{k} x y", s, k) for s in ("a", "b", "c", None) for k in range(6)] + [(1, "w " * 40, "b", 0)]
     sizes = spark.createDataFrame([(s, len(t.split())) for _, t, s, _ in rows], "source string, size long")
     got = defaultdict(int)
@@ -87,3 +90,13 @@ def test_clashing_names_and_a_very_long_text(spark):
     assert out.columns == docs.columns
     for r in out.select("doc_id", F.size(F.split(F.trim("text"), " ")).alias("n"), *names).collect():
         assert all(r[n] == 77 for n in names) and r.n <= (400_000 if r.doc_id == 0 else 5)
+
+
+def test_many_rows_without_an_id(spark, monkeypatch):
+    """A third of all rows alike in id, source and size: numbered in parts, each text as often as one of its takes."""
+    monkeypatch.setattr(M, "PART_ROWS", 16)
+    rows = [(None, f"t{i % 150} b c", "a", i) for i in range(300)] + [(i, "w " * (i % 9), "ab"[i % 2], i) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sum(len(r.text.split()) for r in M.mixed_documents(docs).collect())
+    want = sum(r.taken for r in M.mix(docs).collect())
+    assert got == want and [r.text for r in M.mixed_documents(docs).orderBy("text").collect()] == [r.text for r in M.mixed_documents(docs.repartition(2)).orderBy("text").collect()]
