@@ -47,19 +47,40 @@ def materialize(df: DataFrame) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    _WRITTEN.add(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+#: Folders that `materialize` wrote and nobody has deleted yet.
+_WRITTEN: set[str] = set()
+
+
+def written() -> set[str]:
+    """Folders of the tables that `materialize` wrote and nobody has deleted yet."""
+    return set(_WRITTEN)
+
+
+def sweep(spark: SparkSession, paths: set[str], kept: DataFrame) -> None:
+    """Delete those of the tables `paths` that `kept` does not read."""
+    used = {f.rpartition("/")[0].rpartition("/")[2] for f in kept.inputFiles()}
+    for path in [p for p in paths & _WRITTEN if p.rpartition("/")[2] not in used]:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that `materialize` wrote and that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names = {f.rpartition("/")[0].rpartition("/")[2] for df in frames for f in df.inputFiles()}
+    for path in [p for p in _WRITTEN if p.rpartition("/")[2] in names]:
+        _delete(spark, path)
 
 
 def apart(df: DataFrame, *columns: str) -> DataFrame:

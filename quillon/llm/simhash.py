@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, apart, fresh, materialize, slices, texts_of
+from .common import ASCII_LOWER, apart, fresh, materialize, release, slices, texts_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -107,9 +107,12 @@ WIDE_BITS, WIDE_SHINGLE = 1024, 5
 SIMILAR = (4, 5)
 #: Texts, about, whose shingles tell which are common; those in this many of them are, and so many at most are told apart.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 8_000, 4, 200_000
-#: Bits of the shingle sketch in which a candidate pair differs, at most; exact similarity decides what is left. At 0.8 the mean is
-#: 155 and the deviation 11, for sets of four and five shingles (the worst case) 192 and 12.5, so this is seven deviations off.
-WIDE_DISTANCE = 280
+#: Bits of the shingle sketch in which a candidate pair differs, at most, for small sets and for those of LARGE_SET shingles or more;
+#: exact similarity decides what is left. At 0.8 the mean is 155 and the deviation 11, for sets of four and five shingles (the worst
+#: case) 192 and 12.5, so these are four deviations off: of pairs at just 0.8, three in 100,000 are farther, of those at 0.82 none to speak of.
+WIDE_DISTANCE, LARGE_SET = (242, 199), 50
+#: Rounds of votes at most, and nodes that a node offers to compare in each key, at first.
+PIVOT_ROUNDS, OFFERS = 3, 8
 #: Members of a key that meet in one cell, on average at most; larger keys become pairs of parts.
 CELL_MEMBERS = 2048
 _SEEDS = np.random.default_rng(99).integers(0, 1 << 64, WIDE_BITS // 64, np.uint64)
@@ -192,12 +195,17 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, t long, node long, n long, keys array<long>, sketch array<long>")
 
 
+def _most_apart(n, m):
+    """Bits in which the sketches of sets of `n` and `m` shingles that are 0.8 similar may differ, at most."""
+    return F.when(F.least(n, m) >= LARGE_SET, WIDE_DISTANCE[1]).otherwise(WIDE_DISTANCE[0])
+
+
 def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The `pairs` (a, b) whose numbers of shingles and sketches allow a similarity of 0.8."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart_ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
-    return sized.where(apart <= WIDE_DISTANCE).select("a", "b")
+    return sized.where(apart_ <= _most_apart("na", "nb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -218,28 +226,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
-def open_pairs(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: np.ndarray):
-    """Pairs (a, b), a < b, of nodes of a cell with different labels whose sizes and sketches allow a link, in parts."""
+def offers(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketches: np.ndarray, most: int):
+    """For each node of a cell the `most` nearest nodes with another label that may link: node, partner, whether there are more.
+
+    Sizes and sketches must allow a link, and so must the key's places in both prefixes if no key before it is shared: a
+    pair meets under the first key that it shares, so it need not meet where too little of either set follows.
+    """
+    far = np.iinfo(np.int32).max
+    least, whole = SIMILAR
     for i in range(0, len(nodes), 32):
         mine = np.s_[i : i + 32]
-        near = (nodes[mine, None] < nodes) & (labels[mine, None] != labels)
-        near &= SIMILAR[1] * np.minimum(sizes[mine, None], sizes) >= SIMILAR[0] * np.maximum(sizes[mine, None], sizes)
-        if near.any():
-            near &= np.bitwise_count(sketches[mine, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int32) <= WIDE_DISTANCE
+        n, both = sizes[mine, None], sizes[mine, None] + sizes
+        near = labels[mine, None] != labels
+        near &= whole * np.minimum(n, sizes) >= least * np.maximum(n, sizes)
+        common = -(-least * both // (least + whole))
+        near &= (n - places[mine, None] >= common) & (sizes - places >= common)
         x, y = np.nonzero(near)
-        yield nodes[i + x], nodes[y]
+        if not len(x):
+            continue
+        bits = np.bitwise_count(sketches[i + x] ^ sketches[y]).sum(1, dtype=np.int32)
+        bits[bits > np.where(np.minimum(sizes[i + x], sizes[y]) >= LARGE_SET, WIDE_DISTANCE[1], WIDE_DISTANCE[0])] = far
+        apart_ = np.full(near.shape, far, np.int32)
+        apart_[x, y] = bits
+        found = (apart_ < far).sum(1)
+        best = np.argsort(apart_, axis=1, kind="stable")[:, :most]
+        x, y = np.nonzero(np.arange(best.shape[1])[None, :] < found[:, None])
+        yield nodes[i + x], nodes[best[x, y]], found[x] > most
 
 
-def _cells(dealt: DataFrame) -> DataFrame:
+def _cells(dealt: DataFrame, most: int) -> DataFrame:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+
     def run(batches):
         now, rows = None, []
 
         def close():
             if len(rows) > 1:
-                nodes, labels, sizes = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-                sketches = np.array([r[3] for r in rows], np.int64).view(np.uint64)
-                for a, b in open_pairs(nodes, labels, sizes, sketches):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                numbers = [np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4]]
+                sketches = np.array([r[4] for r in rows], np.int64).view(np.uint64)
+                for found in offers(*numbers, sketches, most):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), schema=schema)
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -250,41 +276,87 @@ def _cells(dealt: DataFrame) -> DataFrame:
                 rows.append(row)
         yield from close()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _voted(labelled: DataFrame, seen: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each node with the pivot of another group that most of its keys name. A key names two random members."""
+    # node digests are random numbers: the least and the largest of them after a change of bits are random members
+    drawn = F.col("node").bitwiseXOR(F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(4)), F.lit(turn)))
+    ends = [F.min_by("node", drawn).alias("p"), F.min_by("label", drawn).alias("lp"), F.max_by("node", drawn).alias("q"), F.max_by("label", drawn).alias("lq")]
+    named = apart(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), *ends).where("x <> y").drop("x", "y"), "key")
+    pivot = F.when(F.col("lp") != F.col("label"), F.col("p")).when(F.col("lq") != F.col("label"), F.col("q"))
+    votes = labelled.join(named, "key").select("node", pivot.alias("pivot")).where("pivot is not null").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    pairs = votes.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "node", "pivot", "n").join(seen, ["a", "b"], "left_anti")
+    best = pairs.groupBy("node").agg(F.max_by("pivot", F.shiftleft("n", 32) + F.pmod(F.xxhash64("pivot"), F.lit(1 << 32))).alias("pivot"))
+    return _ordered(best.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
 
 
 def _roots(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (node, root) of the nodes that link to others; root is one of the group.
 
-    All pairs of nodes that share a key are candidates. First each node meets one pivot of each of its keys (one of few,
-    so that large groups make few pairs), and what is 0.8 similar links. Then in keys that still hold several groups, all
-    pairs of different groups follow. A pair that is never compared is in one group already, so the groups are exact.
+    All pairs of nodes that share a key are candidates, but pairs within one group need no comparison. So groups grow
+    first by votes: each node is compared with one pivot of another group, in rounds until PIVOT_ROUNDS have passed or one
+    links nothing. Then, in keys that still hold several groups, each node offers its nearest nodes of other groups, OFFERS
+    of them a key, and all offers are compared. While a node had more to offer, it offers eight times as many in another
+    round. When none had, every pair of different groups that may link has been compared, so the groups are exact.
     """
     spark = sketched.sparkSession
     nodes = materialize(sketched.groupBy("node").agg(F.min(F.struct("doc_id", "t", "n", "keys", "sketch")).alias("m")).select("node", "m.*"))
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    # node digests are random numbers: the least of them after a change of bits is a random member
-    salt = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(4)))
-    pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(salt)).alias("least")).where("n > 1")
-    shared = materialize(pivots.select("key", "n", F.col("least").bitwiseXOR(salt).alias("pivot")))
-    met = members.join(shared, "key").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = materialize(_allowed(met, nodes))
-    groups = materialize(connected_components(_verified(first, nodes, texts)))
-
-    labelled = members.join(shared.where("n > 2").select("key"), "key").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-    labelled = materialize(labelled)
-    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    several = apart(several.select("key", F.ceil(F.col("n") / CELL_MEMBERS).cast("int").alias("parts")), "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = labelled.join(several, "key").select("key", "node", "label", mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    placed = dealt.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "label").join(nodes.select("node", "n", "sketch"), "node")
+    members = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    shared = apart(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
+    held = materialize(members.join(shared, "key").select("key", "node", "place"))
+    seen, groups = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), None
+
+    def labelled(held: DataFrame) -> DataFrame:
+        if groups is None:
+            return held.withColumn("label", F.col("node"))
+        found = materialize(held.drop("label").join(groups, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("label")))
+        several = apart(found.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m"), "key")
+        left = materialize(found.join(several, "key"))
+        release(spark, held, found)
+        return left
+
+    def grown(links: DataFrame) -> DataFrame:
+        stars = links if groups is None else groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)
+        return materialize(connected_components(stars))
+
+    held = labelled(held)
+    for turn in range(PIVOT_ROUNDS):
+        now = materialize(_voted(held, seen, turn))
+        links = materialize(_verified(_allowed(now, nodes), nodes, texts))
+        seen = materialize(seen.unionByName(now))
+        none = links.isEmpty()
+        groups = grown(links)
+        held = labelled(held)
+        if none:
+            break
+    most, more = OFFERS, True
+    while more:
+        found = materialize(_cells(_placed(held, nodes), most))
+        more = not found.where("more").isEmpty()
+        now = materialize(_ordered(found).join(seen, ["a", "b"], "left_anti"))
+        release(spark, found)
+        if not now.isEmpty():
+            groups = grown(materialize(_verified(now, nodes, texts)))
+            seen = materialize(seen.unionByName(now))
+        if more:
+            held, most = labelled(held), 8 * most
+    return groups
+
+
+def _placed(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (key, i, j, node, label, n, place, sketch), sorted by cell: of a key with many members each pair of parts, by a hash, is a cell."""
+    spark, parts = held.sparkSession, F.ceil(F.col("m") / CELL_MEMBERS).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = held.select("key", "node", "place", "label", mine.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    placed = dealt.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "node", "place", "label").join(nodes.select("node", "n", "sketch"), "node")
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cells = placed.repartition(count, "key", "i", "j").select("key", "i", "j", "node", "label", "n", "sketch").sortWithinPartitions("key", "i", "j")
-    second = materialize(_cells(cells).distinct().join(first, ["a", "b"], "left_anti"))
-    if second.isEmpty():
-        return groups
-    stars = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(stars.unionByName(_verified(second, nodes, texts)))
+    return placed.repartition(count, "key", "i", "j").select("key", "i", "j", "node", "label", "n", "place", "sketch").sortWithinPartitions("key", "i", "j")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -292,7 +364,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("t"), "text")
     sketched = materialize(_sketched(texts))
-    return sketched.join(_roots(sketched, texts), "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
+    rows = materialize(sketched.select("doc_id", "t", "node"))
+    return rows.join(_roots(sketched, texts), "node", "left").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

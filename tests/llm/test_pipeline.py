@@ -58,10 +58,11 @@ def plain(name, rows):
         out = []
         for x in rows:
             gone = np.zeros(len(x[1].encode()), bool)
-            for i in range(len(gone) - 399):
-                piece = x[1].encode()[i : i + 400]
+            size = P.PASSAGE_BYTES
+            for i in range(len(gone) - size + 1):
+                piece = x[1].encode()[i : i + size]
                 if sum(y[1].encode().count(piece) for y in rows) > 1:
-                    gone[i : i + 400] = True
+                    gone[i : i + size] = True
             out.append((x[0], cut(x[1], gone), *x[2:]))
         return out
     taken = {i: t for i, _, _, _, t in test_mixing.brute([(i, " ".join((t or "").split()), s, 0) for i, t, _, s, _ in rows])}
